@@ -94,14 +94,15 @@ def _bounds(hashes: np.ndarray, n_ranges: int) -> np.ndarray:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, blocks: int | None = None) -> DataFrame:
     """One row a document: id, n_words, n_removed, kept_text and its factors (start and length in words, first document).
 
-    `blocks` reference blocks, by default four for each shuffle partition; set either
-    so that a block holds a few MB of text. The ids must be integers. Texts are shuffled
+    `blocks` reference blocks, by default two for each shuffle partition; set either
+    so that a block holds a few MB of text. There is one range of hashes for each
+    shuffle partition, so an index takes about 2 n^2 messages for n partitions. The ids must be integers. Texts are shuffled
     once, by block, and both passes read that exchange.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_blocks = blocks or 4 * parts
-    n_ranges = 2 * parts
+    n_blocks = blocks or 2 * parts
+    n_ranges = parts
     dealt = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(n_blocks)).cast("int").alias("block")
     )
