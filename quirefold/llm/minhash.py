@@ -12,10 +12,11 @@ empty. Cost follows the number of elements plus about k ln k darts, not their pr
 
 Signatures are banded. A bucket (equal band) links its members to its least member, never
 all pairs. Links are verified by the exact similarity of the two whole texts; connected
-components give classes. Then bucket members that are still in another class than their
-bucket's centre are compared with all other members of that bucket outside their class,
-first by signature, then exactly; so a centre that is unlike some members loses no link
-among them. Exact copies are joined by the digest of the text before all this.
+components give classes. In a bucket that then still holds several classes, the members
+outside its largest class are compared exactly with every member of another class, in
+tiles of bounded size, so a centre that is unlike some members loses no link among them;
+a tile returns one link for each two classes that it joins. Exact copies are joined by
+the digest of the text before all this.
 
 Defined results: a text without a word (null, empty, only spaces) is in a class of its
 own. A text of fewer than five words is one element. Rows with one id are one document;
@@ -30,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vector
@@ -40,6 +41,8 @@ _U = np.uint64
 _HASHER = vector.WordHasher("space")
 #: Rank levels: level 0 is [0, 2**-LOW), level j is [2**(j-1-LOW), 2**(j-LOW)).
 LOW = 6
+#: Bounds of each side of a tile of exact comparisons.
+TILE_ROWS, TILE_BYTES, TILE_COLUMNS = 1024, 4 << 20, 2048
 
 
 @lru_cache(maxsize=256)
@@ -144,7 +147,7 @@ def _list(values: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def signatures(texts: DataFrame, n_words: int = 5, bands: int = 16, rows: int = 4) -> DataFrame:
-    """Columns id, key and text -> id, key, buckets array<long>, sketch array<int>; texts without words are left out."""
+    """Columns id, key and text -> id, key, buckets array<long>, size long (bytes); texts without words are left out."""
     k = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +163,10 @@ def signatures(texts: DataFrame, n_words: int = 5, bands: int = 16, rows: int =
                 bucket = np.zeros((len(some), bands), dtype=np.uint64)
                 for r in range(rows):
                     bucket = vector.mix(bucket + sig[:, r::rows] + np.arange(bands, dtype=np.uint64) * _U(0xC2B2AE3D27D4EB4F))
-                sketch = (sig >> _U(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _list(bucket.view(np.int64), pa.int64()), _list(sketch, pa.int32())], names=["id", "key", "buckets", "sketch"])
+                size = np.diff(offsets[i : j + 1])[some]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _list(bucket.view(np.int64), pa.int64()), pa.array(size)], names=["id", "key", "buckets", "size"])
 
-    return texts.select("id", "key", "text").mapInArrow(run, "id long, key binary, buckets array<long>, sketch array<int>")
+    return texts.select("id", "key", "text").mapInArrow(run, "id long, key binary, buckets array<long>, size long")
 
 
 def _renumbered(h: np.ndarray, row: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = base.where("id is not null and text is not null")
     keyed = known.withColumn("key", F.unhex(F.md5("text")))
-    nodes = checkpoint(signatures(keyed, n_words, bands, rows).groupBy("key").agg(F.min("id").alias("node"), F.first(F.struct("buckets", "sketch")).alias("s")).select("key", "node", "s.*"))
+    nodes = checkpoint(signatures(keyed, n_words, bands, rows).groupBy("key").agg(F.min("id").alias("node"), F.first(F.struct("buckets", "size")).alias("s")).select("key", "node", "s.*"))
     members = nodes.select("node", F.explode("buckets").alias("bucket"))
     centres = members.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("bucket", "a")
     shared = checkpoint(members.join(centres, "bucket").where("node > a"))
@@ -220,26 +223,70 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = verified(shared.select("a", F.col("node").alias("b")).distinct())
     classes = components(links)
-    # members whose class is still not their centre's
-    named = shared.join(classes.withColumnRenamed("component", "own"), "node", "left").join(classes.select(F.col("node").alias("a"), F.col("component").alias("theirs")), "a", "left")
-    named = named.select("bucket", "a", "node", F.coalesce("own", "node").alias("own"), F.coalesce("theirs", "a").alias("theirs"))
-    apart = checkpoint(named.where("own <> theirs").select("bucket", "node", "own", F.col("a")))
-    if not apart.isEmpty():
-        sketches = nodes.select("node", "sketch")
-        # all other members of those buckets; the pair of a member and its centre has been checked
-        rest = named.join(apart.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("node").alias("other"), F.col("own").alias("class_o"))
-        pairs = apart.join(rest, "bucket").where("own <> class_o").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        near = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-        equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-        more = verified(near.where(equal >= F.lit(_least_equal(bands * rows))).select("a", "b"))
-        links = links.union(more)
-        classes = components(links) if not more.isEmpty() else classes
+    more = checkpoint(_across(shared, classes, nodes, known, n_words))
+    if not more.isEmpty():
+        classes = components(links.union(more))
     ids = base.select("id", F.unhex(F.md5("text")).alias("key")).distinct()
     named = ids.join(nodes.select("key", "node"), "key", "left").join(classes, "node", "left")
     out = named.groupBy("id").agg(F.min(F.coalesce("component", "node", "id")).alias("class_id"))
     return out.select(F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("is_kept"))
 
 
-def _least_equal(k: int) -> int:
-    """Equal coordinates that a similarity of 0.8 falls short of about once in a million."""
-    return int(0.8 * k - 4.75 * math.sqrt(k * 0.16))
+def _across(shared: DataFrame, classes: DataFrame, nodes: DataFrame, known: DataFrame, n_words: int) -> DataFrame:
+    """Links (a, b) between different classes of one bucket."""
+    members = shared.select("bucket", "node").union(shared.select("bucket", F.col("a").alias("node")).distinct())
+    members = members.join(classes, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("own"))
+    mixed = members.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("bucket")
+    members = checkpoint(members.join(mixed, "bucket").join(nodes.select("node", "size"), "node"))
+    largest = members.groupBy("bucket", "own").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).groupBy("bucket").agg(
+        F.max_by("own", F.struct("n", "own")).alias("main"), F.max(F.struct("n", "own", "size")).alias("m"), F.sum("n").alias("n"), F.sum("size").alias("size")
+    )
+
+    def tiles(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / TILE_ROWS), F.ceil(size / TILE_BYTES), F.lit(1)).cast("int")
+
+    cut = largest.select("bucket", "main", tiles(F.col("n") - F.col("m.n"), F.col("size") - F.col("m.size")).alias("n_left"), tiles(F.col("n"), F.col("size")).alias("n_right"))
+    put = members.join(cut, "bucket")
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = put.where("own <> main").select("bucket", "node", "own", F.lit(True).alias("is_left"), mine("n_left").alias("i"), every("n_right").alias("j"))
+    right = put.select("bucket", "node", "own", F.lit(False).alias("is_left"), every("n_left").alias("i"), mine("n_right").alias("j"))
+    texts = known.select(F.col("id").alias("node"), "text")
+
+    def compare(tile: pa.Table) -> pa.Table:
+        tile = tile.combine_chunks()
+        side = tile["is_left"].to_numpy()
+        node, own = tile["node"].to_numpy(), tile["own"].to_numpy()
+        h, row = [], []
+        data, offsets = vector.buffers(tile["text"])
+        for i, j in vector.ranges(offsets):
+            x, r = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n_words)
+            x, r, n = elements(x, r)
+            n = n.astype(np.int64)
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            h.append(vector.mix(np.repeat(x, n) + nth.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)))
+            row.append(np.repeat(r, n) + i)
+        h, row = np.concatenate(h), np.concatenate(row)
+        total = np.bincount(row, minlength=len(node))
+        a, b = np.flatnonzero(side), np.flatnonzero(~side)
+        place = np.empty(len(node), dtype=np.int64)
+        place[a], place[b] = np.arange(len(a)), np.arange(len(b))
+        column = np.unique(h, return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        same = np.zeros((len(a), len(b)), dtype=np.float32)
+        for first in range(0, int(column.max(initial=-1)) + 1, TILE_COLUMNS):
+            at = slice(*np.searchsorted(column, [first, first + TILE_COLUMNS]))
+            c, r = column[at] - first, row[at]
+            x, y = np.zeros((len(a), TILE_COLUMNS), dtype=np.float32), np.zeros((len(b), TILE_COLUMNS), dtype=np.float32)
+            x[place[r[side[r]]], c[side[r]]] = 1
+            y[place[r[~side[r]]], c[~side[r]]] = 1
+            same += x @ y.T
+        i, j = np.nonzero(5 * same >= 4 * (total[a][:, None] + total[b][None, :] - same))
+        i, j = a[i], b[j]
+        i, j = i[own[i] != own[j]], j[own[i] != own[j]]
+        pair = np.stack([np.minimum(own[i], own[j]), np.maximum(own[i], own[j])], axis=1)
+        once = np.unique(pair, axis=0, return_index=True)[1] if len(pair) else np.zeros(0, dtype=np.int64)
+        return pa.table({"a": pa.array(node[i[once]], pa.int64()), "b": pa.array(node[j[once]], pa.int64())})
+
+    return left.union(right).join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
