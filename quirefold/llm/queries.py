@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, lines, minhash, quality, secrets, substring, urls
+from . import bpe, decontam, langid, licenses, lines, minhash, quality, secrets, substring, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,12 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.train(spark))
+    families = F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["family"])))
+    return found.select("doc_id", "n_paragraphs", F.size("licences").cast("long").alias("n_licences"), F.array_join(families, ",").alias("families"), F.forall("licences", lambda x: x["confirmed"]).alias("all_confirmed"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -96,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_langid": op7_langid,
         "op8_quality": op8_quality,
         "op9_urls": op9_urls,
+        "op10_licenses": op10_licenses,
     }
 
 
