@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,14 +17,22 @@ def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(newlines(text), "\n", -1), strip), lambda x: x != "")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value bound once: a column that f uses often is neither planned nor computed often."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def split_row(line: Column) -> Column:
     """Cells of one row; a backslash keeps the next character in its cell. Null without a pipe."""
-    guarded = F.regexp_replace(line, r"\\\|", f"\\\\{_MARK}")
-    guarded = F.when(F.contains(line, F.lit("\\\\")), _guard_pairs(line)).otherwise(guarded)
+    guarded = F.when(F.contains(line, F.lit("\\\\")), _guard_pairs(line)).otherwise(F.regexp_replace(line, r"\\\|", f"\\\\{_MARK}"))
     cells = F.transform(F.split(guarded, r"\|", -1), lambda x: strip(F.replace(x, F.lit(_MARK), F.lit("|"))))
-    cells = F.when(F.get(cells, F.lit(0)) == "", F.slice(cells, F.lit(2), F.size(cells) - 1)).otherwise(cells)
-    cells = F.when((F.size(cells) > 0) & (F.element_at(cells, F.greatest(F.size(cells), F.lit(1))) == ""), F.slice(cells, F.lit(1), F.size(cells) - 1)).otherwise(cells)
-    return F.when(F.contains(line, F.lit("|")) & (F.size(cells) > 0), cells)
+
+    def trimmed(c: Column) -> Column:
+        first = F.when(F.get(c, F.lit(0)) == "", 2).otherwise(1)
+        last = F.when((F.size(c) > 1) & (F.element_at(c, -1) == ""), F.size(c) - 1).otherwise(F.size(c))
+        return F.slice(c, first, F.greatest(F.lit(0), last - first + 1))
+
+    return F.when(F.contains(line, F.lit("|")), let(let(cells, trimmed), lambda c: F.when(F.size(c) > 0, c)))
 
 
 def _guard_pairs(line: Column) -> Column:
@@ -32,8 +42,7 @@ def _guard_pairs(line: Column) -> Column:
 
 def rows(text: Column) -> Column:
     """Cells of every row, separator included; null if a line is no row or there is none."""
-    found = F.transform(lines(text), split_row)
-    return F.when((F.size(found) > 0) & F.forall(found, lambda r: r.isNotNull()), found)
+    return let(F.transform(lines(text), split_row), lambda found: F.when((F.size(found) > 0) & F.forall(found, lambda r: r.isNotNull()), found))
 
 
 def is_separator(cells: Column) -> Column:
@@ -42,23 +51,27 @@ def is_separator(cells: Column) -> Column:
 
 def shape(text: Column) -> Column:
     """struct(rows, columns, separator_index): content rows, cells of each row, index of the separator."""
-    every = F.coalesce(rows(text), F.array().cast("array<array<string>>"))
-    where = F.array_position(F.transform(every, is_separator), True)
-    n = F.size(every)
-    return F.struct(
-        F.when(where > 0, n - 1).otherwise(n).alias("rows"), F.transform(every, F.size).alias("columns"), F.when(where > 0, (where - 1).cast("int")).alias("separator_index")
-    )
+
+    def of(every: Column) -> Column:
+        where = F.array_position(F.transform(every, is_separator), True)
+        return let(where, lambda w: F.struct(F.when(w > 0, F.size(every) - 1).otherwise(F.size(every)).alias("rows"), F.transform(every, F.size).alias("columns"), F.when(w > 0, (w - 1).cast("int")).alias("separator_index")))
+
+    return let(F.coalesce(rows(text), F.array().cast("array<array<string>>")), of)
 
 
 def is_valid(found: Column, expected_rows: Column | None = None, expected_columns: Column | None = None) -> Column:
     """Of a shape: separator second, a content row, equal widths; and the expected size where it is known."""
-    width = F.array_max(found["columns"])
-    ok = (found["rows"] >= 1) & (F.coalesce(found["separator_index"], F.lit(-1)) == 1) & (F.size(found["columns"]) > 0) & (F.array_min(found["columns"]) == width) & (width > 0)
-    if expected_rows is not None:
-        ok = ok & F.coalesce(found["rows"] == expected_rows, F.lit(True))
-    if expected_columns is not None:
-        ok = ok & F.coalesce(width == expected_columns, F.lit(True))
-    return F.coalesce(ok, F.lit(False))
+
+    def check(s: Column) -> Column:
+        width = F.array_max(s["columns"])
+        ok = (s["rows"] >= 1) & (F.coalesce(s["separator_index"], F.lit(-1)) == 1) & (F.size(s["columns"]) > 0) & (F.array_min(s["columns"]) == width) & (width > 0)
+        if expected_rows is not None:
+            ok = ok & F.coalesce(s["rows"] == expected_rows, F.lit(True))
+        if expected_columns is not None:
+            ok = ok & F.coalesce(width == expected_columns, F.lit(True))
+        return F.coalesce(ok, F.lit(False))
+
+    return let(found, check)
 
 
 def render(cells: Column) -> Column:
@@ -79,11 +92,14 @@ def html_columns(html: Column) -> Column:
 
 def mismatch(text: Column, html: Column, expected_rows: Column, expected_columns: Column) -> Column:
     """Whether a table block's text or HTML differs from the shape that its metadata state, or has none."""
-    widths = html_columns(html)
-    by_html = (
-        F.coalesce(F.size(widths) != expected_rows, F.lit(False))
-        | F.coalesce(F.exists(widths, lambda w: w != expected_columns), F.lit(False))
-        | (~F.contains(F.lower(html), F.lit("rowspan=")) & (F.size(F.array_distinct(widths)) > 1))
-    )
+
+    def differs(widths: Column) -> Column:
+        return (
+            F.coalesce(F.size(widths) != expected_rows, F.lit(False))
+            | F.coalesce(F.exists(widths, lambda w: w != expected_columns), F.lit(False))
+            | (~F.contains(F.lower(html), F.lit("rowspan=")) & (F.size(F.array_distinct(widths)) > 1))
+        )
+
+    by_html = let(html_columns(html), differs)
     by_text = (F.coalesce(text, F.lit("")) != "") & ~is_valid(shape(F.coalesce(text, F.lit(""))), expected_rows, expected_columns)
     return F.when(F.coalesce(html, F.lit("")) != "", by_html).otherwise(by_text)
