@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import newlines, strip
+from .text import let, newlines, strip
 
 #: Stand-ins for an escaped character's backslash and pipe while a row is split.
 _MARK = "\ue000"
@@ -17,11 +15,6 @@ def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(newlines(text), "\n", -1), strip), lambda x: x != "")
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with the value bound once: a column that f uses often is neither planned nor computed often."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def split_row(line: Column) -> Column:
     """Cells of one row; a backslash keeps the next character in its cell. Null without a pipe."""
     guarded = F.when(F.contains(line, F.lit("\\\\")), _guard_pairs(line)).otherwise(F.regexp_replace(line, r"\\\|", f"\\\\{_MARK}"))

@@ -244,12 +244,7 @@ def collapsed(flags: DataFrame) -> DataFrame:
     return flags.where("maybe_collapsed").where(_does_not_parse("body")).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n_collapsed"))
 
 
-def flat_headings(flags: DataFrame) -> DataFrame:
-    """(doc_id, n_flat) of documents whose numbered headings have lost their levels."""
-    of = [F.count_if(F.col("heading_level") == k).alias(f"l{k}") for k in range(1, 7)]
-    h = flags.where("heading").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("level_differs").alias("n_flat"), *of)
-    counts = F.array(*(F.col(f"l{k}") for k in range(1, 7)))
-    return h.where((F.col("n") >= S.FLAT_HEADINGS) & (F.array_max(counts) / F.col("n") >= S.FLAT_DOMINANT) & (F.size(F.filter(counts, lambda x: x > 0)) <= S.FLAT_LEVELS) & (F.col("n_flat") >= S.FLAT_MISMATCHES)).select("doc_id", "n_flat")
+LEVELS = [f"level_{k}" for k in range(1, 7)]
 
 
 def page_facts(flags: DataFrame) -> DataFrame:
@@ -257,15 +252,13 @@ def page_facts(flags: DataFrame) -> DataFrame:
     texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("qtext").isNotNull(), F.struct("seq", "qtext")))), lambda s: s["qtext"])
     n = lambda c: F.count_if(c).alias
     facts = flags.groupBy("doc_id", "page").agg(
-        texts.alias("texts"), n("from_image")("n_from_image"), F.bool_or("aligned").alias("aligned"), n("number_tail")("n_tail"), n("orphan")("n_orphan"), n("empty_table")("n_empty"), n("mismatch")("n_mismatch"),
-        F.bool_or("structured").alias("structured"), n("level_differs")("n_level_differs"),
+        texts.alias("texts"), n("from_image")("n_from_image"), F.bool_or("aligned").alias("aligned"), n("number_tail")("n_tail"), n("orphan")("n_orphan"), n("mismatch")("n_mismatch"), F.bool_or("structured").alias("structured"),
+        F.array_sort(F.collect_list(F.when(F.col("empty_table"), F.coalesce("block_id", F.lit(""))))).alias("empty_tables"), n("level_differs")("n_level_differs"), *(n(F.col("heading_level") == k)(f"level_{k}") for k in range(1, 7)),
     )
-    normal = F.filter(F.transform("texts", text.normal), lambda x: x != "")
-    facts = facts.withColumn("normal", normal).withColumn("page_text", text.strip(F.array_join("texts", "\n")))
-    packed = text.compact(F.col("page_text"))
-    facts = facts.withColumn("packed", packed)
+    facts = facts.withColumn("normal", F.filter(F.transform("texts", text.normal), lambda x: x != "")).withColumn("page_text", text.strip(F.array_join("texts", "\n")))
+    facts = facts.withColumn("packed", text.compact(F.col("page_text")))
     return facts.select(
-        "doc_id", "page", "n_from_image", "aligned", "n_tail", "n_orphan", "n_empty", "n_mismatch", "structured", "n_level_differs",
+        "doc_id", "page", F.lit(True).alias("has_blocks"), "n_from_image", "aligned", "n_tail", "n_orphan", F.size("empty_tables").cast("long").alias("n_empty"), "empty_tables", "n_mismatch", "structured", "n_level_differs", *LEVELS,
         F.when(F.size("normal") > 0, (F.size("normal") - F.size(F.array_distinct("normal"))) / F.size("normal")).otherwise(0.0).alias("dup"),
         F.length("packed").cast("long").alias("chars"),
         (F.length("packed") - F.length(F.replace("packed", F.lit("\ufffd"), F.lit("")))).cast("long").alias("n_garbled"),
@@ -273,6 +266,27 @@ def page_facts(flags: DataFrame) -> DataFrame:
     )
 
 
+def is_flat(counts: Column, n_differing: Column) -> Column:
+    """Whether a document's headings, counted by level, have lost their levels."""
+    n = F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
+    few = F.size(F.filter(counts, lambda x: x > 0)) <= S.FLAT_LEVELS
+    return (n >= S.FLAT_HEADINGS) & (F.array_max(counts) / F.greatest(n, F.lit(1)) >= S.FLAT_DOMINANT) & few & (n_differing >= S.FLAT_MISMATCHES)
+
+
+def with_flat(facts: DataFrame) -> DataFrame:
+    """`facts` with n_flat: differing numbered headings of the document if its headings are flat, else 0."""
+    doc = Window.partitionBy("doc_id")
+    summed = facts.withColumns({f"all_{c}": F.sum(c).over(doc) for c in (*LEVELS, "n_level_differs")})
+    flat = is_flat(F.array(*(F.col(f"all_{c}") for c in LEVELS)), F.col("all_n_level_differs"))
+    return summed.select(*facts.columns, F.when(flat, F.col("all_n_level_differs")).otherwise(0).cast("long").alias("n_flat"))
+
+
+def flat_headings(flags: DataFrame) -> DataFrame:
+    """(doc_id, n_flat) of documents whose numbered headings have lost their levels."""
+    sums = flags.where("heading").groupBy("doc_id").agg(F.count_if("level_differs").alias("n_flat"), *(F.count_if(F.col("heading_level") == k).alias(f"level_{k}") for k in range(1, 7)))
+    return sums.where(is_flat(F.array(*map(F.col, LEVELS)), F.col("n_flat"))).select("doc_id", "n_flat")
+
+
 @dataclass
 class Report:
     """pages: scores; issues: one row each; documents: verdicts."""
@@ -346,10 +360,12 @@ def evaluate(
     """
     flags = block_flags(blocks)
     key = ["doc_id", "page"]
-    facts = page_facts(flags)
-    pages = inspections.select("doc_id", "page", "native_text_chars", "is_blank")
-    present = (parsed_pages.select(*key).distinct() if parsed_pages is not None else facts.select(*key)).withColumn("present", F.lit(True))
-    joined = pages.join(present, key, "left").join(facts, key, "left")
+    facts = with_flat(page_facts(flags))
+    joined = inspections.select("doc_id", "page", "native_text_chars", "is_blank").join(facts, key, "left")
+    if parsed_pages is not None:
+        joined = joined.join(parsed_pages.select(*key).distinct().withColumn("present", F.lit(True)), key, "left")
+    else:
+        joined = joined.withColumn("present", F.coalesce("has_blocks", F.lit(False)))
     if with_code:
         findings = code_findings(blocks)
         per_page = findings.where("code is not null").groupBy(*key).agg(F.sum("deduction").alias("code_deduction"), F.bool_or("is_error").alias("code_error"))
@@ -369,22 +385,22 @@ def evaluate(
     else:
         checked = None
         joined = joined.withColumns({"n_missing_asset": F.lit(0).cast("long"), "n_tiny": F.lit(0).cast("long")})
-    joined = joined.join(flat_headings(flags), "doc_id", "left")
+    # pages without blocks are flat pages of no document, but their document's issue stands on its other pages
     zeros = ["n_from_image", "n_tail", "n_orphan", "n_empty", "n_mismatch", "n_level_differs", "chars", "n_garbled", "n_control", "n_collapsed", "n_missing_asset", "n_tiny"]
     filled = joined.na.fill(0, [*zeros, "n_flat"]).na.fill(0.0, ["dup", "code_deduction"]).na.fill(False, ["aligned", "structured", "present", "code_error"])
     filled = filled.withColumn("flat_page", (F.col("n_flat") > 0) & (F.col("n_level_differs") > 0))
     native = engine == "native"
     scored = rules(filled, minimum, native)
     page_quality = scored.select("doc_id", "page", "score", F.col("chars").alias("extracted_chars"), "replacement_ratio", "duplicate_ratio", "needs_fallback")
-    issues = _issues(scored, flags, findings, checked, native)
+    issues = _issues(scored, findings, checked, native)
     return Report(page_quality, issues, _documents(page_quality, issues, minimum, engine))
 
 
-def _issues(scored: DataFrame, flags: DataFrame, findings: DataFrame | None, assets: DataFrame | None, native: bool) -> DataFrame:
+def _issues(scored: DataFrame, findings: DataFrame | None, assets: DataFrame | None, native: bool) -> DataFrame:
     """(doc_id, page, block_id, code, severity, message); page is null for issues of the document."""
     none = F.lit(None).cast("string")
     rows = scored.select("doc_id", "page", F.explode("found").alias("i")).select("doc_id", "page", none.alias("block_id"), "i.code", "i.severity")
-    rows = rows.union(flags.where("empty_table").join(scored.select("doc_id", "page"), ["doc_id", "page"], "left_semi").select("doc_id", "page", "block_id", F.lit("empty_table"), F.lit("warning")))
+    rows = rows.union(scored.select("doc_id", "page", F.explode("empty_tables"), F.lit("empty_table"), F.lit("warning")))
     if assets is not None:
         rows = rows.union(assets.where("missing").select("doc_id", "page", "block_id", F.lit("missing_asset"), F.lit("warning")))
     if findings is not None:

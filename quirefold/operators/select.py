@@ -15,10 +15,15 @@ from .. import schema as S
 from . import quality, segment
 
 
-def better_pages(inspections: DataFrame, primary: DataFrame, fallback: DataFrame, minimum: float = S.MINIMUM_SCORE, primary_engine: str = "structured", fallback_engine: str = "native", with_code: bool = True) -> DataFrame:
-    """(doc_id, page, primary_score, fallback_score, applied); applied only if strictly better."""
+def better_pages(inspections: DataFrame, primary: DataFrame, fallback: DataFrame, minimum: float = S.MINIMUM_SCORE, primary_engine: str = "structured", fallback_engine: str = "native", with_code: bool = True, primary_pages: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, primary_score, fallback_score, applied); applied only if strictly better.
+
+    `primary_pages`: the primary's page scores, if they are known already.
+    """
     key = ["doc_id", "page"]
-    own = quality.evaluate(inspections, primary, minimum=minimum, engine=primary_engine, with_code=with_code).pages.select(*key, F.col("score").alias("primary_score"))
+    if primary_pages is None:
+        primary_pages = quality.evaluate(inspections, primary, minimum=minimum, engine=primary_engine, with_code=with_code).pages
+    own = primary_pages.select(*key, F.col("score").alias("primary_score"))
     tried = fallback.select(*key).distinct()
     many = tried.select("doc_id", F.col("page").alias("tried"))
     key_of = F.xxhash64("doc_id", "tried")

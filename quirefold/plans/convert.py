@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..operators import layout, normalize, quality, render, select
 from ..sources import engines, sinks
+from ..storage import checkpoint
 
 # What a transient failure says.
 TRANSIENT = ("broken pipe", "connection reset", "resource temporarily unavailable", "temporarily unavailable", "unexpected eof")
@@ -62,14 +63,15 @@ def convert(documents: DataFrame, pages: DataFrame, inspections: DataFrame, opti
     if o.recover_layout:
         layouts = pages.join(documents.where(F.col("kind").isin("born_digital", "mixed")), "doc_id", "left_semi").select("doc_id", "page", F.col("text").alias("layout_text"))
         raw, _ = layout.recover(raw, layouts)
-    blocks = normalize.normalize(raw)
+    blocks = checkpoint(normalize.normalize(raw))
     report = quality.evaluate(inspections, blocks, minimum=o.minimum_score, engine=used)
     chosen, extra = None, [(issue, "warning")] if issue else []
     fallback = engines.ENGINES.get(o.fallback_engine)
     if o.quality_fallback and fallback is not None and fallback.available() and fallback.name != used:
-        weak = report.pages.where("needs_fallback").select("doc_id", "page")
+        scores = checkpoint(report.pages)
+        weak = scores.where("needs_fallback").select("doc_id", "page")
         second = normalize.normalize(fallback.parse(pages.join(weak, ["doc_id", "page"], "left_semi")))
-        chosen = select.better_pages(inspections, blocks, second, o.minimum_score, used, fallback.name)
+        chosen = checkpoint(select.better_pages(inspections, blocks, second, o.minimum_score, used, fallback.name, primary_pages=scores))
         blocks = select.merged(blocks, second, chosen)
         report = quality.evaluate(inspections, blocks, minimum=o.minimum_score, engine=used)
     elif o.quality_fallback and o.fallback_engine != "native" and (fallback is None or not fallback.available()):
