@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import code, tables, text
+from ..storage import checkpoint
 
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 # Patterns of Python sources, console output and fences.
@@ -356,6 +357,7 @@ def evaluate(
 ) -> Report:
     """The gate. `inspections`: rows of page_inspections; `parsed_pages` (doc_id, page): pages that the parse
     returned, by default those with a block; `assets` (doc_id, path, width, height): the files that exist.
+    The scores are computed when this is called and kept in the checkpoint folder.
     `with_code=False` leaves out the two rules that parse code, and with them all Python.
     """
     flags = block_flags(blocks)
@@ -367,8 +369,8 @@ def evaluate(
     else:
         joined = joined.withColumn("present", F.coalesce("has_blocks", F.lit(False)))
     if with_code:
-        findings = code_findings(blocks)
-        per_page = findings.where("code is not null").groupBy(*key).agg(F.sum("deduction").alias("code_deduction"), F.bool_or("is_error").alias("code_error"))
+        findings = checkpoint(code_findings(blocks).select("doc_id", "page", "first_block_id", "code", "is_error", "deduction"))
+        per_page = findings.groupBy(*key).agg(F.sum("deduction").alias("code_deduction"), F.bool_or("is_error").alias("code_error"))
         joined = joined.join(per_page, key, "left").join(collapsed(flags), key, "left")
     else:
         findings = None
@@ -390,7 +392,8 @@ def evaluate(
     filled = joined.na.fill(0, [*zeros, "n_flat"]).na.fill(0.0, ["dup", "code_deduction"]).na.fill(False, ["aligned", "structured", "present", "code_error"])
     filled = filled.withColumn("flat_page", (F.col("n_flat") > 0) & (F.col("n_level_differs") > 0))
     native = engine == "native"
-    scored = rules(filled, minimum, native)
+    # a few numbers a page: written once, so that scores, issues and verdicts do not each read all texts
+    scored = checkpoint(rules(filled, minimum, native))
     page_quality = scored.select("doc_id", "page", "score", F.col("chars").alias("extracted_chars"), "replacement_ratio", "duplicate_ratio", "needs_fallback")
     issues = _issues(scored, findings, checked, native)
     return Report(page_quality, issues, _documents(page_quality, issues, minimum, engine))
@@ -404,7 +407,10 @@ def _issues(scored: DataFrame, findings: DataFrame | None, assets: DataFrame | N
     if assets is not None:
         rows = rows.union(assets.where("missing").select("doc_id", "page", "block_id", F.lit("missing_asset"), F.lit("warning")))
     if findings is not None:
-        rows = rows.union(findings.where("code is not null").select("doc_id", "page", F.col("first_block_id"), "code", F.when(F.col("is_error"), "error").otherwise("warning")))
+        # by an explode: a filter would be pushed down with the whole expression of the finding
+        severity = F.when(F.col("is_error"), "error").otherwise("warning")
+        found = F.filter(F.array(F.struct(F.col("first_block_id").alias("block_id"), F.col("code"), severity.alias("severity"))), lambda x: x["code"].isNotNull())
+        rows = rows.union(findings.select("doc_id", "page", F.explode(found).alias("f")).select("doc_id", "page", "f.*"))
     whole = F.lit(None).cast("int")
     rows = rows.union(scored.where("n_flat > 0").select("doc_id").distinct().select("doc_id", whole, none, F.lit("flat_heading_hierarchy"), F.lit("error")))
     if native:

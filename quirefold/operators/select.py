@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..storage import checkpoint
 from . import quality, segment
 
 
@@ -35,7 +36,7 @@ def better_pages(inspections: DataFrame, primary: DataFrame, fallback: DataFrame
     names = many.select(F.xxhash64("doc_id", "tried").alias("_key"), F.col("doc_id").alias("_doc"), "tried")
     theirs = scored.withColumnRenamed("doc_id", "_key").join(names, "_key").where("page = tried").select(F.col("_doc").alias("doc_id"), "page", F.col("score").alias("fallback_score"))
     out = theirs.join(own, key, "left").select(*key, F.coalesce("primary_score", F.lit(0.0)).alias("primary_score"), "fallback_score")
-    return out.withColumn("applied", F.col("fallback_score") > F.col("primary_score"))
+    return checkpoint(out.withColumn("applied", F.col("fallback_score") > F.col("primary_score")))
 
 
 def merged(primary: DataFrame, fallback: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -68,11 +68,10 @@ def convert(documents: DataFrame, pages: DataFrame, inspections: DataFrame, opti
     chosen, extra = None, [(issue, "warning")] if issue else []
     fallback = engines.ENGINES.get(o.fallback_engine)
     if o.quality_fallback and fallback is not None and fallback.available() and fallback.name != used:
-        scores = checkpoint(report.pages)
-        weak = scores.where("needs_fallback").select("doc_id", "page")
-        second = normalize.normalize(fallback.parse(pages.join(weak, ["doc_id", "page"], "left_semi")))
-        chosen = checkpoint(select.better_pages(inspections, blocks, second, o.minimum_score, used, fallback.name, primary_pages=scores))
-        blocks = select.merged(blocks, second, chosen)
+        weak = report.pages.where("needs_fallback").select("doc_id", "page")
+        second = checkpoint(normalize.normalize(fallback.parse(pages.join(weak, ["doc_id", "page"], "left_semi"))))
+        chosen = select.better_pages(inspections, blocks, second, o.minimum_score, used, fallback.name, primary_pages=report.pages)
+        blocks = checkpoint(select.merged(blocks, second, chosen))
         report = quality.evaluate(inspections, blocks, minimum=o.minimum_score, engine=used)
     elif o.quality_fallback and o.fallback_engine != "native" and (fallback is None or not fallback.available()):
         extra.append(("fallback_engine_unavailable", "warning"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import text
 from ..operators import client, quality, segment, select
-from ..storage import checkpoint
 from . import harness as H
 
 QUERIES, SQL = {}, {}
@@ -165,7 +164,7 @@ chosen AS (SELECT doc_id, page, q.score AS primary_score, CASE WHEN p.dup >= 0.2
 
 
 def chosen(spark, d):
-    scores = checkpoint(report(spark, d).pages)
+    scores = report(spark, d).pages
     second = H.plain_blocks(spark, d).join(scores.where("needs_fallback").select("doc_id", "page"), ["doc_id", "page"], "left_semi")
     return select.better_pages(H.inspections(spark, d), H.blocks(spark, d), second, fallback_engine="plain", with_code=False, primary_pages=scores), second
 
@@ -178,7 +177,6 @@ def better_page(spark, d):
 @query("merged_pages", H.sql(FACTS + PLAIN, "SELECT f.doc_id, f.page, CASE WHEN c.doc_id IS NOT NULL AND c.fallback_score > c.primary_score THEN 'plain' ELSE 'primary' END AS engine FROM facts f LEFT JOIN chosen c USING (doc_id, page) UNION ALL SELECT c.doc_id, c.page, 'plain' FROM chosen c WHERE c.fallback_score > c.primary_score AND NOT EXISTS (SELECT 1 FROM facts f WHERE f.doc_id = c.doc_id AND f.page = c.page)"))
 def merged_pages(spark, d):
     picks, second = chosen(spark, d)
-    picks = checkpoint(picks)
     return select.page_engines(select.merged(H.blocks(spark, d), second, picks))
 
 

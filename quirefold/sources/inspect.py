@@ -12,7 +12,10 @@ MAGIC = b"%PDF-"
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*.pdf", max_bytes: int = S.MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) of a folder. Sizes are filtered by the listing, before any content is read."""
+    """(accepted, rejected) of a folder. Sizes are filtered by the listing, before any content is read.
+
+    Spark's reader passes over files of no bytes, so `empty` is only given for rows from elsewhere.
+    """
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return accept(found, max_bytes)
 
