@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm import bpe, decontam, langid, lines, minhash
 from quirefold.llm import queries as ops
-from quirefold.llm.cluster import checkpoint
+from quirefold.storage import checkpoint
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 

@@ -1,23 +1,11 @@
-"""Checkpoints in the cluster's shared folder, and connected components."""
+"""Connected components, with checkpoints in the cluster's shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """`df`, computed and written to the folder that spark.checkpoint.dir names.
-
-    Only a session without that setting (a test on one machine) gets a folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+from ..storage import checkpoint
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -34,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import checkpoint
 from . import vector
-from .cluster import checkpoint, components
+from .cluster import components
 
 _U = np.uint64
 _HASHER = vector.WordHasher("space")

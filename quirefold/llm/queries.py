@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import spread
 from . import bpe, decontam, langid, licenses, lines, minhash, quality, secrets, substring, urls
 
 
@@ -25,7 +26,7 @@ def vocabulary() -> tuple[str, str]:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     coded = bpe.encode_decode(docs, *vocabulary())
     return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -36,23 +37,23 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return minhash.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
 
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.col("leak_item").isNotNull().alias("contaminated"), F.col("leak_item").alias("item_id"), F.col("leak_coverage").alias("coverage"), F.col("leak_items").alias("n_items"))
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     parsed = substring.dedup(docs, window=13)
     return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     found = secrets.scan(docs, secrets.train(docs))
 
     def written(spans: Column) -> Column:
@@ -69,12 +70,12 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = langid.held_out(F.col("doc_id"))
     model = langid.train(docs.where(~held_out).select("doc_id", "text", "lang"))
-    found = langid.identify(docs.select("doc_id", "text"), model)
+    found = langid.identify(spread(docs.select("doc_id", "text"), "doc_id"), model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality.judge(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -86,7 +87,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.train(spark))
+    found = licenses.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), licenses.train(spark))
     families = F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["family"])))
     return found.select("doc_id", "n_paragraphs", F.size("licences").cast("long").alias("n_licences"), F.array_join(families, ",").alias("families"), F.forall("licences", lambda x: x["confirmed"]).alias("all_confirmed"))
 
