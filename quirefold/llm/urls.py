@@ -10,8 +10,8 @@ after the `depth`-th are one `**`. A template is rejected if its labelled purity
 share of good pages smoothed by `weight` pages of the corpus's mean, is under `least`.
 
 Each level is two counts with map-side combination and a join with the frequent segments,
-at most 1/share of them below a template; hot hosts are never gathered, and AQE can split
-their pages in the join. Levels are checkpointed.
+at most 1/share of them below a template, which are broadcast while they are few; hot hosts
+are never gathered, and where the join is by key AQE can split their pages. Levels are checkpointed.
 
 Defined results: a null url or one without `://` has an empty host and path. Labels are
 those of rows whose id equals the page's; an id with several labels is bad if one is, and
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import checkpoint
+from ..storage import checkpoint
 
 Rule = tuple[str, str, str]
 # The rules of the registered query (host, path prefix, verdict).
@@ -65,12 +65,18 @@ def templates(pages: DataFrame, share: float, min_pages: int, depth: int, chi_sq
         both = (F.col("all_bad") * F.col("all_good")).cast("double") * labelled * other
         statistic = F.when((labelled >= 5) & (other >= 5) & (both > 0), (labelled + other) * cross.cast("double") * cross / both).otherwise(0.0)
         token = child.select("host", "template", "part", F.when(statistic >= chi_square, F.col("part")).otherwise(F.lit("+")).alias("token"))
-        step = now.withColumn("part", F.get("parts", F.lit(d))).join(token, ["host", "template", "part"], "left")
+        step = now.withColumn("part", F.get("parts", F.lit(d))).join(_small(token), ["host", "template", "part"], "left")
         grown = F.when(F.size("parts") > d, F.concat("template", F.lit("/"), F.coalesce("token", F.lit("*")))).otherwise(F.col("template"))
         now = checkpoint(step.select(*(grown.alias(c) if c == "template" else c for c in now.columns)))
     return now.select(*(c for c in now.columns if c not in ("parts", "template")), F.when(F.size("parts") > levels, F.concat("template", F.lit("/**"))).otherwise(F.col("template")).alias("template"))
 
 
+def _small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """`df`, written once, and broadcast if it has at most `rows` rows; beyond that it is joined by key."""
+    df = checkpoint(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def judge(
     pages: DataFrame,
     labels: DataFrame,
@@ -94,7 +100,7 @@ def judge(
     mean = total[0] / (total[0] + total[1]) if total[0] or total[1] else 1.0
     purity = grown.groupBy("host", "template").agg(((F.sum("good") + F.lit(weight * mean)) / (F.sum("good") + F.sum("bad") + F.lit(weight))).alias("purity"))
     impure = purity.where(F.col("purity") < least)
-    judged = grown.join(impure, ["host", "template"], "left")
+    judged = grown.join(_small(impure), ["host", "template"], "left")
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("purity").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "template", "purity")
