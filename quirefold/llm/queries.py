@@ -110,4 +110,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_lines": lines.oracle(),
+        "op5_substring": substring.oracle(),
     }

@@ -227,3 +227,16 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndar
     mask = np.ones(len(out), dtype=bool)
     mask[drop] = False
     return vector.binary_array(out[mask], bounds - np.concatenate([[0], np.cumsum(some)]), text=True)
+
+
+def oracle(window: int = 13) -> str:
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+windows AS (SELECT w.doc_id, t.i AS i, words[t.i : t.i + {window - 1}] AS g FROM w, unnest(range(1, greatest(1, len(words) - {window - 2}))) AS t(i)),
+firsts AS (SELECT g, min(doc_id) AS first_id FROM windows GROUP BY g),
+hits AS (SELECT windows.doc_id, windows.i FROM windows JOIN firsts USING (g) WHERE first_id < windows.doc_id),
+covered AS (SELECT DISTINCT hits.doc_id, hits.i + t.k AS p FROM hits, range({window}) AS t(k)),
+placed AS (SELECT w.doc_id, t.p AS p, words[t.p] AS word FROM w, unnest(range(1, len(words) + 1)) AS t(p)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM placed ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
