@@ -54,3 +54,26 @@ def latest_table(spark: SparkSession, table: str) -> DataFrame:
     """The newest version that keep_latest has written."""
     every = spark.read.option("basePath", table).parquet(table)
     return every.where(F.col("version") == every.agg(F.max("version")).first()[0]).drop("version")
+
+
+def run_queued(stream: DataFrame, work: Callable[[DataFrame], DataFrame], table: str, checkpoint: str) -> StreamingQuery:
+    """Run `work` over the queued jobs of each batch and keep every job's latest state in `table`.
+
+    `work` takes job rows and returns them with a final status, error or score. A batch that fails
+    as a whole leaves its jobs failed with the reason; a repeated batch runs them again.
+    """
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        queued = jobs.latest(batch, "id").where("status = 'queued'")
+        try:
+            work(queued).select(*batch.columns).write.mode("overwrite").parquet(f"{table}/version={epoch}/new")
+        except Exception as e:
+            reason = jobs.redacted(F.lit(str(e)), [])
+            failed = {"status": F.lit("failed"), "stage": F.lit("failed"), "error": reason}
+            queued.select(*(failed.get(c, F.col(c)).alias(c) for c in batch.columns)).write.mode("overwrite").parquet(f"{table}/version={epoch}/new")
+        new = spark.read.parquet(f"{table}/version={epoch}/new")
+        old = spark.read.parquet(f"{table}/version={epoch - 1}/all") if epoch else new.limit(0)
+        jobs.latest(old.unionByName(new), "id").write.mode("overwrite").parquet(f"{table}/version={epoch}/all")
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -37,3 +37,20 @@ def test_job_rows(spark):
     assert jobs.newest(made, 0).count() == 1 and "output_dir" not in jobs.public_view(made).columns
     assert jobs.lookup(made, "a" * 32).count() == 1
     assert jobs.deleted(made.withColumn("status", F.lit("running")), made.select("id")).count() == 2
+
+
+def test_queued_jobs_run_and_failures_are_kept(spark, tmp_path):
+    log = str(tmp_path / "queue")
+    for k, name in enumerate(("good", "bad")):
+        rows = [(f"{k}{n}" * 16, "queued", name, 0, "queued", None, n) for n in range(2)]
+        spark.createDataFrame(rows, "id string, status string, filename string, progress int, stage string, error string, updated_at long").coalesce(1).write.mode("append").parquet(log)
+
+    def work(batch):
+        if batch.where("filename = 'bad'").count():
+            raise ValueError("no such page")
+        return batch.withColumns({"status": F.lit("completed"), "progress": F.lit(100), "updated_at": F.col("updated_at") + 1})
+
+    schema = spark.read.parquet(log).schema
+    streaming.run_queued(streaming.updates(spark, log, schema, 1), work, str(tmp_path / "state"), str(tmp_path / "ck2")).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/state/version=1/all").groupBy("filename", "status", "error").count().collect()
+    assert sorted(map(tuple, got)) == [("bad", "failed", "no such page", 2), ("good", "completed", None, 2)]
