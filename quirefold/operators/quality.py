@@ -400,21 +400,25 @@ def evaluate(
 
 
 def _issues(scored: DataFrame, findings: DataFrame | None, assets: DataFrame | None, native: bool) -> DataFrame:
-    """(doc_id, page, block_id, code, severity, message); page is null for issues of the document."""
+    """(doc_id, ord, page, block_id, code, severity, message); page is null for issues of the document.
+
+    `ord` is the order of a report: the document's structure, then page by page, then limits of the engine.
+    """
     none = F.lit(None).cast("string")
-    rows = scored.select("doc_id", "page", F.explode("found").alias("i")).select("doc_id", "page", none.alias("block_id"), "i.code", "i.severity")
-    rows = rows.union(scored.select("doc_id", "page", F.explode("empty_tables"), F.lit("empty_table"), F.lit("warning")))
+    place = lambda n: (F.col("page").cast("long") * 100 + n).alias("ord")
+    rows = scored.select("doc_id", "page", F.explode("found").alias("i")).select("doc_id", place(F.col("i.ord")), "page", none.alias("block_id"), "i.code", "i.severity")
+    rows = rows.union(scored.select("doc_id", "page", F.explode("empty_tables").alias("b")).select("doc_id", place(6), "page", "b", F.lit("empty_table"), F.lit("warning")))
     if assets is not None:
-        rows = rows.union(assets.where("missing").select("doc_id", "page", "block_id", F.lit("missing_asset"), F.lit("warning")))
+        rows = rows.union(assets.where("missing").select("doc_id", place(5), "page", "block_id", F.lit("missing_asset"), F.lit("warning")))
     if findings is not None:
         # by an explode: a filter would be pushed down with the whole expression of the finding
         severity = F.when(F.col("is_error"), "error").otherwise("warning")
         found = F.filter(F.array(F.struct(F.col("first_block_id").alias("block_id"), F.col("code"), severity.alias("severity"))), lambda x: x["code"].isNotNull())
-        rows = rows.union(findings.select("doc_id", "page", F.explode(found).alias("f")).select("doc_id", "page", "f.*"))
+        rows = rows.union(findings.select("doc_id", "page", F.explode(found).alias("f")).select("doc_id", place(3), "page", "f.*"))
     whole = F.lit(None).cast("int")
-    rows = rows.union(scored.where("n_flat > 0").select("doc_id").distinct().select("doc_id", whole, none, F.lit("flat_heading_hierarchy"), F.lit("error")))
+    rows = rows.union(scored.where("n_flat > 0").select("doc_id").distinct().select("doc_id", F.lit(0).cast("long"), whole, none, F.lit("flat_heading_hierarchy"), F.lit("error")))
     if native:
-        rows = rows.union(scored.select("doc_id").distinct().select("doc_id", whole, none, F.lit("limited_layout_validation"), F.lit("info")))
+        rows = rows.union(scored.select("doc_id").distinct().select("doc_id", F.lit(2**62), whole, none, F.lit("limited_layout_validation"), F.lit("info")))
     return rows.withColumn("message", F.concat_ws(" ", F.replace("code", F.lit("_"), F.lit(" ")), F.when(F.col("page").isNotNull(), F.concat(F.lit("on page "), F.col("page").cast("string")))))
 
 

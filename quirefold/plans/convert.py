@@ -65,31 +65,45 @@ def convert(documents: DataFrame, pages: DataFrame, inspections: DataFrame, opti
         raw, _ = layout.recover(raw, layouts)
     blocks = checkpoint(normalize.normalize(raw))
     report = quality.evaluate(inspections, blocks, minimum=o.minimum_score, engine=used)
-    chosen, extra = None, [(issue, "warning")] if issue else []
+    chosen, notices = None, [(issue, "warning", None)] if issue else []
     fallback = engines.ENGINES.get(o.fallback_engine)
+    weak = report.pages.where("needs_fallback").select("doc_id", "page")
     if o.quality_fallback and fallback is not None and fallback.available() and fallback.name != used:
-        weak = report.pages.where("needs_fallback").select("doc_id", "page")
-        second = checkpoint(normalize.normalize(fallback.parse(pages.join(weak, ["doc_id", "page"], "left_semi"))))
-        chosen = select.better_pages(inspections, blocks, second, o.minimum_score, used, fallback.name, primary_pages=report.pages)
-        blocks = checkpoint(select.merged(blocks, second, chosen))
-        report = quality.evaluate(inspections, blocks, minimum=o.minimum_score, engine=used)
+        try:
+            second = checkpoint(normalize.normalize(fallback.parse(pages.join(weak, ["doc_id", "page"], "left_semi"))))
+        except Exception:
+            second = None
+            notices.append(("fallback_failed", "warning", weak))
+        if second is not None:
+            chosen = select.better_pages(inspections, blocks, second, o.minimum_score, used, fallback.name, primary_pages=report.pages)
+            blocks = checkpoint(select.merged(blocks, second, chosen))
+            report = with_fallback(quality.evaluate(inspections, blocks, minimum=o.minimum_score, engine=used), weak, chosen, fallback.name)
+            notices.append(("fallback_applied", "info", weak))
     elif o.quality_fallback and o.fallback_engine != "native" and (fallback is None or not fallback.available()):
-        extra.append(("fallback_engine_unavailable", "warning"))
-    report = with_notices(report, extra, degraded=bool(issue))
+        notices.append(("fallback_engine_unavailable", "warning", weak))
+    for code, severity, only in notices:
+        report = with_notice(report, code, severity, only, degraded=code == issue)
     markdown = render.document(blocks, documents, o.front_matter, o.page_markers)
     assets = blocks.where("asset_path is not null").select("doc_id", F.col("asset_path").alias("path"))
     return Result(blocks, report, markdown, sinks.manifest(documents, report.documents.drop("page_count"), assets), chosen)
 
 
-def with_notices(report: quality.Report, notices: list[tuple[str, str]], degraded: bool = False) -> quality.Report:
-    """The report with notices on every document; a degraded conversion has not passed. Counts are made anew."""
-    if not notices:
-        return report
-    spark = report.documents.sparkSession
-    notes = spark.createDataFrame(notices, "code string, severity string")
-    rows = report.documents.select("doc_id").join(F.broadcast(notes)).select("doc_id", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("block_id"), "code", "severity", F.replace("code", F.lit("_"), F.lit(" ")).alias("message"))
-    n = {s: sum(x[1] == s for x in notices) for s in S.SEVERITIES}
-    documents = report.documents.withColumns({"issue_count": F.col("issue_count") + len(notices), **{f"{s}_count": F.col(f"{s}_count") + n[s] for s in S.SEVERITIES}})
-    if degraded:
-        documents = documents.withColumn("passed", F.lit(False))
-    return quality.Report(report.pages, rows.unionByName(report.issues), documents)
+def with_fallback(report: quality.Report, tried: DataFrame, chosen: DataFrame, engine: str) -> quality.Report:
+    """The report with the pages that were taken from the fallback as fallback_pages, and those tried."""
+    listed = lambda df, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_set("page")).alias(name))
+    none = F.array().cast("array<int>")
+    out = report.documents.drop("fallback_pages").join(listed(chosen.where("applied"), "fallback_pages"), "doc_id", "left").join(listed(tried, "attempted_pages"), "doc_id", "left")
+    out = out.withColumns({"fallback_pages": F.coalesce("fallback_pages", none), "attempted_pages": F.coalesce("attempted_pages", none)})
+    return quality.Report(report.pages, report.issues, out.withColumn("fallback_engine", F.when(F.size("attempted_pages") > 0, engine)))
+
+
+def with_notice(report: quality.Report, code: str, severity: str, only: DataFrame | None = None, degraded: bool = False) -> quality.Report:
+    """The report with a notice, before its other issues, on every document or those of `only`; counts are made anew.
+
+    A degraded conversion has not passed.
+    """
+    docs = report.documents.select("doc_id") if only is None else only.select("doc_id").distinct()
+    row = docs.select("doc_id", F.lit(-1).cast("long").alias("ord"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("block_id"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(code.replace("_", " ")).alias("message"))
+    marked = report.documents.join(docs.withColumn("_noted", F.lit(1)), "doc_id", "left").withColumn("_noted", F.coalesce("_noted", F.lit(0)))
+    made = {c: F.col(c) + F.col("_noted") for c in ("issue_count", f"{severity}_count")} | ({"passed": F.lit(False)} if degraded else {})
+    return quality.Report(report.pages, row.unionByName(report.issues), marked.withColumns(made).drop("_noted"))

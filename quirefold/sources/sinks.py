@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -61,3 +61,22 @@ def archive_folders(asked: DataFrame) -> DataFrame:
     """(nth, id, folder): results/NN-first eight characters; a batch is small, so one task numbers it."""
     order = Window.orderBy("nth")
     return asked.select("nth", "id", F.format_string("results/%02d-%s", F.row_number().over(order), F.left("id", F.lit(8))).alias("folder"))
+
+
+def zip_results(spark: SparkSession, path: str, ids: list[int], target: str, max_files: int = S.MAX_BATCH_FILES, max_bytes: int = S.MAX_ARCHIVE_BYTES) -> None:
+    """A ZIP file on the driver of the artifacts of a few documents, within the limits of a batch archive."""
+    import zipfile
+
+    if len(ids) > max_files or len(set(ids)) < len(ids):
+        raise ValueError(f"{len(ids)} ids: at most {max_files}, each once")
+    total = 0
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as bundle:
+        for n, doc_id in enumerate(ids, start=1):
+            for name in ROOT_FILES:
+                rows = spark.read.option("basePath", f"{path}/{name}").json(f"{path}/{name}").where(F.col("part") == doc_id).drop("part")
+                size = rows.select(F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
+                total += size
+                if total > max_bytes:
+                    raise ValueError(f"more than {max_bytes} bytes")
+                lines = [r.markdown for r in rows.collect()] if name.endswith(".md") else [r[0] for r in rows.select(F.to_json(F.struct("*"))).collect()]
+                bundle.writestr(f"results/{n:02d}-{doc_id}/{name}", "\n".join(lines))

@@ -180,6 +180,9 @@ def test_conversion(spark):
     try:
         look = inspections(spark, {1: 62, 2: 4})
         got = convert.convert(docs, pages, look, convert.Options(primary_engine="lossy", fallback_engine="native"))
+        about = got.report.documents.first()
+        assert (about.fallback_engine, about.fallback_pages, about.attempted_pages, about.info_count) == ("native", [2], [2], 1)
+        assert got.report.issues.orderBy("ord").first().code == "fallback_applied"
         assert got.chosen.first().applied and "lost" in got.markdown.first().markdown and got.manifest.first().files.startswith("document.json,document.md")
         got = convert.convert(docs, pages, look, convert.Options(primary_engine="unsteady"))
         assert flaky["n"] == 2 and got.report.documents.first().primary_engine == "unsteady"
@@ -223,6 +226,11 @@ def test_sinks(spark, tmp_path):
     sinks.write(str(tmp_path / "out"), docs.where("doc_id = 2").selectExpr("doc_id", "'new' as markdown"), docs, docs, docs)
     got = spark.read.json(str(tmp_path / "out" / "document.md")).select("doc_id", "markdown").collect()
     assert sorted(map(tuple, got)) == [(1, "m1"), (2, "new")]
+    sinks.zip_results(spark, str(tmp_path / "out"), [2, 1], str(tmp_path / "r.zip"))
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "r.zip") as bundle:
+        assert bundle.read("results/01-2/document.md") == b"new" and len(bundle.namelist()) == 8
     ids = [f"{k:032x}" for k in range(3)]
     jobs = spark.createDataFrame([(i, "completed") for i in ids], "id string, status string")
     asked = lambda names: spark.createDataFrame(list(enumerate(names)), "nth int, id string")
