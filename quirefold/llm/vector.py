@@ -91,6 +91,19 @@ class WordHasher:
         return starts, ends, np.repeat(np.arange(len(offsets) - 1), per_row)
 
     def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of each word, whatever its place; a very long text is taken in pieces, for the sake of memory."""
+        if len(data) <= 2 * CHUNK_BYTES:
+            return self._hashes(data, starts, ends)
+        out = np.empty(len(starts), dtype=np.uint64)
+        i = 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + CHUNK_BYTES)))
+            first = starts[i]
+            out[i:j] = self._hashes(data[first : ends[j - 1]], starts[i:j] - first, ends[i:j] - first)
+            i = j
+        return out
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         self._powers(len(data) + 1)
         total = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(self.table[data] * self.up[: len(data)], out=total[1:])
