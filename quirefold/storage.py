@@ -19,10 +19,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of input for each core below which an input is spread.
+SPLIT = 4 << 20
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """`df` over all cores if its scan has fewer partitions than there are; otherwise as it is.
+    """`df` over all cores if its input is estimated at less than SPLIT bytes a core; otherwise as it is.
 
-    Only small inputs, of fewer splits than cores, pay this shuffle.
+    Files of that size are often one split. Larger inputs never pay this shuffle.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n, *keys) if df.rdd.getNumPartitions() < n else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(n, *keys) if size < n * SPLIT else df
