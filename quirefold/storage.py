@@ -29,5 +29,5 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Files of that size are often one split. Larger inputs never pay this shuffle.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(n, *keys) if size < n * SPLIT else df
