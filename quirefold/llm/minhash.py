@@ -43,7 +43,7 @@ _HASHER = vector.WordHasher("space")
 #: Rank levels: level 0 is [0, 2**-LOW), level j is [2**(j-1-LOW), 2**(j-LOW)).
 LOW = 6
 #: Bounds of each side of a tile of exact comparisons.
-TILE_ROWS, TILE_BYTES, TILE_COLUMNS = 1024, 4 << 20, 2048
+TILE_ROWS, TILE_BYTES, TILE_COLUMNS = 512, 4 << 20, 2048
 
 
 @lru_cache(maxsize=256)
