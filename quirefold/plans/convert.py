@@ -83,7 +83,7 @@ def convert(documents: DataFrame, pages: DataFrame, inspections: DataFrame, opti
         notices.append(("fallback_engine_unavailable", "warning", weak))
     for code, severity, only in notices:
         report = with_notice(report, code, severity, only, degraded=code == issue)
-    markdown = render.document(blocks, documents, o.front_matter, o.page_markers)
+    markdown = render.document(blocks, documents, o.front_matter, o.page_markers, pages=pages)
     assets = blocks.where("asset_path is not null").select("doc_id", F.col("asset_path").alias("path"))
     return Result(blocks, report, markdown, sinks.manifest(documents, report.documents.drop("page_count"), assets), chosen)
 

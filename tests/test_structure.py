@@ -143,6 +143,13 @@ def test_rendering(spark):
     )
 
 
+def test_page_markers(spark):
+    rows = [{"type": "list_item", "text": "a", "page": 2}, {"type": "paragraph", "text": "b", "page": 2}, {"type": "paragraph", "text": "c", "page": 4}]
+    pages = spark.createDataFrame([(1, p) for p in (1, 2, 3, 4)], "doc_id long, page int")
+    got = render.body(blocks(spark, rows), True, pages).first().body
+    assert got == "<!-- page: 1 -->\n\n<!-- page: 2 -->\n\n- a\n\nb\n\n<!-- page: 3 -->\n\n<!-- page: 4 -->\nc\n\n"
+
+
 def test_code_continues_over_noise(spark):
     rows = [
         {"type": "code", "text": "def f():\n", "page": 1, "meta": {"language": "text"}}, {"type": "paragraph", "text": " 12 ", "page": 1}, {"type": "paragraph", "text": "kept", "page": 1}, {"type": "code", "text": "\n    return import_x", "page": 2, "meta": {"continues_previous": True}},
