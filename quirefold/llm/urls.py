@@ -2,16 +2,16 @@
 
 A rule is a host with a path prefix and fits the host and its subdomains; the longest
 fitting rule decides. Other urls are judged by their host's tree of path templates. The
-tree grows a level at a time: below each template, a segment that fewer than `share` of
-the pages (or `min_pages`) have is variable and becomes `*`; a frequent segment is a
-branch of its own only if its labelled pages differ from its siblings' in how many are
-bad (chi-square test of two shares), and otherwise joins the merged branch `+`. Segments
+tree grows a level at a time: below each template, a segment that fewer than `min_pages`
+pages have is variable and becomes `*`; any other is a branch of its own only if its
+labelled pages differ from its siblings' in how many are bad (chi-square test of two
+shares, with 5 labels on either side), and otherwise joins the merged branch `+`. Segments
 after the `depth`-th are one `**`. A template is rejected if its labelled purity, the
 share of good pages smoothed by `weight` pages of the corpus's mean, is under `least`.
 
-Each level is two counts with map-side combination and a join with the frequent segments,
-at most 1/share of them below a template, which are broadcast while they are few; hot hosts
-are never gathered, and where the join is by key AQE can split their pages. Levels are checkpointed.
+Each level is two counts with map-side combination and a join with the tested segments,
+which are broadcast while they are few and joined by key beyond that; hot hosts are never
+gathered, and where the join is by key AQE can split their pages. Levels are checkpointed.
 
 Defined results: a null url or one without `://` has an empty host and path. Labels are
 those of rows whose id equals the page's; an id with several labels is bad if one is, and
@@ -48,7 +48,7 @@ def ruled(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column
     return rule, verdict
 
 
-def templates(pages: DataFrame, share: float, min_pages: int, depth: int, chi_square: float) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int, depth: int, chi_square: float) -> DataFrame:
     """Rows with host, path, good and bad, plus their path template."""
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
     now = checkpoint(pages.withColumn("parts", parts).withColumn("template", F.lit("")))
@@ -57,7 +57,7 @@ def templates(pages: DataFrame, share: float, min_pages: int, depth: int, chi_sq
         here = now.where(F.size("parts") > d).select("host", "template", F.get("parts", F.lit(d)).alias("part"), "good", "bad")
         sums = [F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")]
         node = here.groupBy("host", "template").agg(*sums).select("host", "template", *(F.col(c).alias(f"all_{c}") for c in ("n", "good", "bad")))
-        child = here.groupBy("host", "template", "part").agg(*sums).where(F.col("n") >= min_pages).join(node, ["host", "template"]).where(F.col("n") >= share * F.col("all_n"))
+        child = here.groupBy("host", "template", "part").agg(*sums).where(F.col("n") >= min_pages).join(node, ["host", "template"])
         labelled, other_bad = F.col("good") + F.col("bad"), F.col("all_bad") - F.col("bad")
         other = F.col("all_good") + F.col("all_bad") - labelled
         # chi-square of the two-by-two table good/bad, this branch/its siblings
@@ -83,7 +83,6 @@ def judge(
     rules: list[Rule],
     id_col: str = "page_id",
     url_col: str = "url",
-    share: float = 0.05,
     min_pages: int = 3,
     depth: int = 8,
     chi_square: float = 6.63,
@@ -95,7 +94,7 @@ def judge(
     known = labels.where("id is not null and bad is not null").groupBy("id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     base = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).join(known, "id", "left")
     base = base.select("id", "host", "path", F.coalesce(1 - F.col("bad"), F.lit(0)).alias("good"), F.coalesce("bad", F.lit(0)).alias("bad"))
-    grown = templates(base, share, min_pages, depth, chi_square)
+    grown = templates(base, min_pages, depth, chi_square)
     total = grown.agg(F.sum("good"), F.sum("bad")).first()
     mean = total[0] / (total[0] + total[1]) if total[0] or total[1] else 1.0
     purity = grown.groupBy("host", "template").agg(((F.sum("good") + F.lit(weight * mean)) / (F.sum("good") + F.sum("bad") + F.lit(weight))).alias("purity"))

@@ -44,6 +44,13 @@ def test_templates(spark):
     assert by[i + 1].verdict == "allow" and by[i + 2].verdict == "allow" and by[i + 2].template == "/+/*"
 
 
+def test_small_sections_of_a_large_host(spark):
+    rows = [(i, f"http://h.org/part{i % 40}/{i}.html") for i in range(2400)]
+    bad = [(i, i % 40 == 7) for i, _ in rows]
+    got = urls.judge(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(bad, "id long, bad boolean"), urls.RULES).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == {i for i, x in bad if x}
+
+
 def test_edges(spark):
     labels = spark.createDataFrame([(None, True), (1, None), (1, True), (1, False)], "id long, bad boolean")
     assert urls.judge(spark.createDataFrame([], SCHEMA), labels, urls.RULES).count() == 0
