@@ -229,9 +229,8 @@ def line_to_page(spark, d):
 # parsing code needs Python: rows only
 
 
-def fenced_blocks(spark, d):
-    """Code of the decorated documents in fences of raw Markdown; every seventh is left open."""
-    own = H.decorated(spark, d).where((F.col("doc_id") + F.col("pos")) % 17 == 0)
+def fenced_blocks(own):
+    """Decorated lines in fences of raw Markdown; every seventh document's are left open."""
     lang = F.when(F.col("doc_id") % 3 == 0, "python").when(F.col("doc_id") % 3 == 1, "json").otherwise("")
     body = F.when(F.col("doc_id") % 3 == 1, F.to_json(F.struct(F.col("pos").alias("n"), F.left("line", F.lit(20)).alias("t")))).otherwise(F.col("text"))
     raw = F.concat(F.lit("````"), lang, F.lit("\n"), body, F.when(F.col("doc_id") % 7 == 0, "").otherwise("\n````"))
@@ -240,17 +239,17 @@ def fenced_blocks(spark, d):
 
 @query("fence_scan", H.sql(H.DECORATED, "SELECT doc_id, page, seq, CASE doc_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'json' ELSE '' END AS language, doc_id % 7 = 0 AS unclosed FROM decorated WHERE k % 17 = 0"))
 def fence_scan(spark, d):
-    return quality.fenced(fenced_blocks(spark, d)).select("doc_id", "page", "seq", "language", "unclosed")
+    return quality.fenced(fenced_blocks(H.decorated(spark, d).where((F.col("doc_id") + F.col("pos")) % 17 == 0))).select("doc_id", "page", "seq", "language", "unclosed")
 
 
 @query("code_findings")
 def code_findings(spark, d):
-    return quality.code_findings(fenced_blocks(spark, d)).select("doc_id", "grp", "page", "language", "code", "is_error", "deduction", "checked", "source_lines", "line")
+    return quality.code_findings(fenced_blocks(H.decorated(spark, d))).select("doc_id", "grp", "page", "language", "code", "is_error", "deduction", "checked", "source_lines", "line")
 
 
 @query("code_metrics")
 def code_metrics(spark, d):
-    return quality.code_metrics(quality.code_findings(fenced_blocks(spark, d)))
+    return quality.code_metrics(quality.code_findings(fenced_blocks(H.decorated(spark, d))))
 
 
 @query("python_syntax")

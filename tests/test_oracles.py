@@ -35,3 +35,14 @@ def test_query(spark, sf, con, name):
     assert sorted(found.columns) == columns
     at = [found.columns.index(c) for c in columns]
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=repr)
+
+
+def test_rows_without_sql_are_of_every_document(spark, sf, con):
+    pages = con.sql("SELECT DISTINCT d.doc_id, (t.pos - 1) // 20 + 1 FROM documents d, unnest(string_split(d.text, chr(10))) WITH ORDINALITY AS t(line, pos)").fetchall()
+    found = queries.queries()
+    docs = {d for d, _ in pages}
+    assert {r.doc_id for r in found["layout_recovery"](spark, sf).select("doc_id").collect()} == docs
+    images = found["ocr_rebuild"](spark, sf).select("image_id", "text").collect()
+    assert {int(r.image_id.split("-")[0]) % 4 for r in images} == {0, 1, 2, 3}
+    assert max(len(x) for r in images for x in r.text.split("\n")) > 40
+    assert {r.doc_id for r in found["code_metrics"](spark, sf).select("doc_id").collect()} == docs
