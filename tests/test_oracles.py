@@ -46,3 +46,8 @@ def test_rows_without_sql_are_of_every_document(spark, sf, con):
     assert {int(r.image_id.split("-")[0]) % 4 for r in images} == {0, 1, 2, 3}
     assert max(len(x) for r in images for x in r.text.split("\n")) > 40
     assert {r.doc_id for r in found["code_metrics"](spark, sf).select("doc_id").collect()} == docs
+
+
+def test_similarity_of_every_adjacent_pair(spark, sf, con):
+    want = con.sql("SELECT sum(len(string_split(text, chr(10))) - 1) FROM documents").fetchall()[0][0]
+    assert queries.queries()["similarity_match"](spark, sf).count() == want
