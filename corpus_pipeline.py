@@ -49,9 +49,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), *ops.vocabulary())
-    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return coded.select("doc_id", "lang", "source", "n_tokens", "token_ids", same.alias("decodes_back"))
+    return bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), *ops.vocabulary(), decode=False, check=True, keep=["doc_id", "lang", "source"])
 
 
 STAGES = [

@@ -11,14 +11,19 @@ Results are defined as follows. A null text encodes like the empty text: no ids
 bytes. Repeated rows give repeated results. Any other columns of the input pass
 through. Texts of any length are encoded whole; a single pre-token of more than
 ``LONG`` bytes is merged with a heap instead of the matrix (same result, O(n log n)).
+Memory follows the longest text: batches are bounded by bytes, and known pre-tokens are
+forgotten beyond a number of them or of their characters.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +33,8 @@ from pyspark.sql import types as T
 from . import vector
 
 LONG = 1024
-#: Pre-tokens kept between batches; beyond it the memory starts anew.
-CACHE = 200_000
+#: Pre-tokens kept between batches, and characters of them; beyond either the memory starts anew.
+CACHE, CACHE_CHARS = 200_000, 4 << 20
 _NONE = np.int32(2**31 - 1)
 _EMPTY = np.uint32(2**32 - 1)
 
@@ -105,6 +110,7 @@ class ByteBPE:
 
     def _forget(self) -> None:
         self.codes: dict[str, int] = {}
+        self.chars = 0
         self.ids = np.zeros(1 << 16, dtype=np.int32)
         self.n_ids = 0
         self.at: list[np.ndarray] = []
@@ -202,18 +208,21 @@ class ByteBPE:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each text."""
-        if len(self.codes) > CACHE:
+        if len(self.codes) > CACHE or self.chars > CACHE_CHARS:
             self._forget()
-        codes, find = self.codes, self.pattern.findall
+        codes, put = self.codes, self.codes.setdefault
         known = len(codes)
-        flat: list[int] = []
+        flat = array("q")
         counts = np.zeros(len(texts), dtype=np.int64)
         for k, t in enumerate(texts):
             before = len(flat)
-            flat += [codes.setdefault(p, len(codes)) for p in find(t)]
+            found = self.pattern.findall(t) if len(t) <= vector.CHUNK_BYTES else map(itemgetter(0), self.pattern.finditer(t))
+            flat.extend(put(p, len(codes)) for p in found)
             counts[k] = len(flat) - before
         if len(codes) > known:
-            new = self.pieces([p.encode("utf-8", "surrogatepass") for p in list(codes)[known:]])
+            fresh = [p.encode("utf-8", "surrogatepass") for p in islice(codes, known, None)]
+            self.chars += sum(map(len, fresh))
+            new = self.pieces(fresh)
             size = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
             begin = self.n_ids + np.cumsum(size) - size
             total = self.n_ids + int(size.sum())
@@ -223,9 +232,9 @@ class ByteBPE:
                 self.ids[self.n_ids : total] = np.concatenate(new)
             self.n_ids = total
             self.at = [np.concatenate([self.at[0], begin]), np.concatenate([self.at[1], size])] if self.at else [begin, size]
-        if not flat:
+        if not len(flat):
             return self.ids[:0], counts
-        which = np.array(flat, dtype=np.int64)
+        which = np.frombuffer(flat, dtype=np.int64)
         size = self.at[1][which]
         ends = np.concatenate([[0], np.cumsum(size)])
         per_text = np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
@@ -243,31 +252,39 @@ def codec(vocab_path: str, pattern: str) -> ByteBPE:
     return ByteBPE(vocab_path, pattern)
 
 
-def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, text_col: str = "text", decode: bool = True) -> DataFrame:
-    """Add `n_tokens` (long), `token_ids` (binary: unsigned 32-bit little-endian ids) and, if asked for, `decoded` (binary).
+def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, text_col: str = "text", decode: bool = True, check: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """Add `n_tokens` (long) and `token_ids` (binary: unsigned 32-bit little-endian ids).
 
-    One map-side pass without a shuffle. `vocab_path` names a rank file that every
-    executor can open. Columns of the input with one of those names are replaced.
+    `decode` adds `decoded` (binary); `check` adds `decodes_back`, whether decoding gives
+    the text's bytes again, without sending them back. `keep` names the columns of the
+    input that pass through, by default all. One map-side pass without a shuffle.
+    `vocab_path` names a rank file that every executor can open. Columns of the input with
+    one of the names that are made are replaced.
     """
-    made = ["n_tokens", "token_ids", *(["decoded"] if decode else [])]
-    keep = [c for c in docs.columns if c.lower() not in made]
-    kinds = {"n_tokens": T.LongType(), "token_ids": T.BinaryType(), "decoded": T.BinaryType()}
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, kinds[c]) for c in made])
-    source = docs.select(*(docs[c] for c in keep))
-    if text_col not in keep:
+    kinds = {"n_tokens": T.LongType(), "token_ids": T.BinaryType()} | ({"decoded": T.BinaryType()} if decode else {}) | ({"decodes_back": T.BooleanType()} if check else {})
+    made = list(kinds)
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
+    if text_col not in docs.columns:
         raise ValueError(f"no column {text_col}")
-    where = keep.index(text_col)
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, kinds[c]) for c in made])
+    sent = [*keep, *([text_col] if text_col not in keep else [])]
+    where = sent.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocab_path, pattern)
         for batch in batches:
-            _, offsets = vector.buffers(batch.column(where))
+            data, offsets = vector.buffers(batch.column(where))
             for i, j in vector.ranges(offsets):
                 part = batch.slice(i, j - i)
-                ids, counts = bpe.encode([t or "" for t in part.column(where).to_pylist()])
+                ids, counts = bpe.encode(list(vector.texts(part.column(where))))
                 cols = [pa.array(counts), vector.binary_array(ids.astype("<u4").view(np.uint8), 4 * np.concatenate([[0], np.cumsum(counts)]))]
+                if decode or check:
+                    back, ends = bpe.decode(ids, counts)
                 if decode:
-                    cols.append(vector.binary_array(*bpe.decode(ids, counts)))
-                yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*keep, *made])
+                    cols.append(vector.binary_array(back, ends))
+                if check:
+                    at = offsets[i : j + 1]
+                    cols.append(pa.array([np.array_equal(back[ends[k] : ends[k + 1]], data[at[k] : at[k + 1]]) for k in range(j - i)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *cols], names=[*keep, *made])
 
-    return source.mapInArrow(run, schema)
+    return vector.map_batches(docs.select(*(docs[c] for c in sent)), run, schema)

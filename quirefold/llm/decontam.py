@@ -140,16 +140,14 @@ def _scan(docs: DataFrame, where: int, index: Index, coverage: float) -> DataFra
             for i, j in vector.ranges(offsets):
                 for row, item, share in index.find(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], coverage):
                     found[row + i].append((share, -int(index.ids[item])))
-            if found:
-                n = batch.num_columns
-                item, share, many = (batch.column(n - k).to_pylist() for k in (3, 2, 1))
-                for row, all_ in found.items():
-                    if item[row] is not None:
-                        all_.append((share[row], -item[row]))
-                    many[row] += len({x for _, x in all_}) - (item[row] is not None)
-                    share[row], item[row] = max(all_)
-                    item[row] = -item[row]
-                batch = pa.RecordBatch.from_arrays([*batch.columns[: n - 3], pa.array(item, pa.int64()), pa.array(share, pa.float64()), pa.array(many, pa.int64())], names=batch.schema.names)
-            yield batch
-
-    return docs.mapInArrow(run, schema)
+            n = batch.num_columns
+            item, share, many = (batch.column(n - k).to_pylist() for k in (3, 2, 1))
+            for row, all_ in found.items():
+                if item[row] is not None:
+                    all_.append((share[row], -item[row]))
+                many[row] += len({x for _, x in all_}) - (item[row] is not None)
+                share[row], item[row] = max(all_)
+                item[row] = -item[row]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n - 3], pa.array(item, pa.int64()), pa.array(share, pa.float64()), pa.array(many, pa.int64())], names=batch.schema.names)
+
+    return vector.map_batches(docs, run, schema)

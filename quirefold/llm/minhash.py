@@ -167,7 +167,7 @@ def signatures(texts: DataFrame, n_words: int = 5, bands: int = 16, rows: int =
                 size = np.diff(offsets[i : j + 1])[some]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _list(bucket.view(np.int64), pa.int64()), pa.array(size)], names=["id", "key", "buckets", "size"])
 
-    return texts.select("id", "key", "text").mapInArrow(run, "id long, key binary, buckets array<long>, size long")
+    return vector.map_batches(texts.select("id", "key", "text"), run, "id long, key binary, buckets array<long>, size long")
 
 
 def _renumbered(h: np.ndarray, row: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,7 +198,7 @@ def similar(pairs: DataFrame, n_words: int = 5, numerator: int = 4, denominator:
                 part = batch.slice(i, j - i).take(pa.array(ok))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return vector.map_batches(pairs.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, bands: int = 16, rows: int = 4) -> DataFrame:

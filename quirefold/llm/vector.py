@@ -8,11 +8,12 @@ of its own, so that memory follows the longest text and never the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 20
 
@@ -32,8 +33,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _letter_table(fold_ascii: bool) -> np.ndarray:
-    table = mix(np.arange(1, 257, dtype=np.uint64) * _U(_BASE))
+def _letter_table(fold_ascii: bool, salt: int) -> np.ndarray:
+    table = mix(np.arange(1, 257, dtype=np.uint64) * _U(_BASE) + _U(salt))
     if fold_ascii:
         table[65:91] = table[97:123]
     return table
@@ -60,9 +61,9 @@ def separators(kind: str) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of all words of a buffer in a few array passes."""
 
-    def __init__(self, kind: str = "space", fold_ascii: bool = False):
+    def __init__(self, kind: str = "space", fold_ascii: bool = False, salt: int = 0):
         self.stops = separators(kind)
-        self.table = _letter_table(fold_ascii)
+        self.table = _letter_table(fold_ascii, salt)
         self.up = self.down = np.ones(0, dtype=np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -111,17 +112,30 @@ class WordHasher:
         return mix(h + (ends - starts).astype(np.uint64) * _U(0xA24BAED4963EE407))
 
 
+def runs(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n hashes, by doubling: a run of a + b is made of one of a and the one of b after it."""
+    out, size, block, width = None, 0, words, 1
+    while True:
+        if n & width:
+            last = len(words) - size - width + 1
+            out = block[:last].copy() if out is None else out[:last] * _power(width) + block[size : size + last]
+            size += width
+        if size == n:
+            return mix(out + _U(n))
+        last = len(words) - 2 * width + 1
+        block, width = block[:last] * _power(width) + block[width : width + last], 2 * width
+
+
+def _power(n: int) -> np.uint64:
+    return _U(pow(int(_GRAM), n, 1 << 64))
+
+
 def grams(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of n words within a row, and the index of each run's first word."""
     if len(words) < n:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    last = len(words) - n + 1
-    h = words[:last].copy()
-    for j in range(1, n):
-        h *= _GRAM
-        h += words[j : j + last]
-    at = np.flatnonzero(rows[:last] == rows[n - 1 :])
-    return mix(h[at] + _U(n)), at
+    at = np.flatnonzero(rows[: len(words) - n + 1] == rows[n - 1 :])
+    return runs(words, n)[at], at
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -151,6 +165,29 @@ def ranges(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+#: Bytes of an Arrow batch sent to Python, unless the session sets its own bound.
+BATCH_BYTES = 4 << 20
+_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """`df.mapInArrow`, with batches bounded by their bytes and not by their rows alone.
+
+    The bound is a setting of the session, read when the plan runs; a session that has
+    one keeps it.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BOUND, None) is None:
+        conf.set(_BOUND, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def texts(column: pa.Array) -> Iterator[str]:
+    """The texts of a column one by one; null counts as the empty text."""
+    for value in column:
+        yield value.as_py() or ""
+
+
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of values[start : start + length] for each pair."""
     total = int(lengths.sum())

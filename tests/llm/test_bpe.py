@@ -40,3 +40,19 @@ def test_matrix_equals_heap():
     rng = random.Random(3)
     raws = [bytes(rng.choice(b"aabbeest ,") for _ in range(n)) for n in [*range(1, 60), 200, 200, 500]]
     assert [x.tolist() for x in codec.pieces(raws)] == [codec._heap(r).tolist() for r in raws]
+
+
+def test_check_keeps_only_the_named_columns(spark):
+    rows = [(1, "x", "a b c", 5), (2, None, None, 6), (3, "z", "é" * 900_000, 7), (4, "", "no", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, decodes_back int")
+    got = bpe.encode_decode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, decode=False, check=True, keep=["doc_id", "lang"])
+    assert got.columns == ["doc_id", "lang", "n_tokens", "token_ids", "decodes_back"]
+    assert {r.doc_id: (r.lang, r.decodes_back) for r in got.collect()} == {1: ("x", True), 2: (None, True), 3: ("z", True), 4: ("", True)}
+
+
+def test_known_pre_tokens_are_bounded(monkeypatch, plain):
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 2000)
+    codec = bpe.ByteBPE(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    for k in range(20):
+        text = " ".join(f"word{k}x{j}" for j in range(200))
+        assert codec.encode([text])[0].tolist() == plain.encode_ordinary(text) and codec.chars < 6000
