@@ -36,6 +36,8 @@ BUCKETS = 1 << 16
 ORDERS = 4
 SEGMENT = 64
 CACHE = 200_000
+#: Numbers that the entry states of all segments of a work unit may take.
+STATES = 8 << 20
 MADE = ("lang_pred", "lang_score", "lang_spans")
 
 # First code points of Unicode ranges and the script of each; 0 is no script of its own.
@@ -183,7 +185,7 @@ def viterbi(score: np.ndarray, per_doc: np.ndarray, penalty: float) -> np.ndarra
     v = np.full((n, n_states), -1e9, dtype=np.float32)
     every = np.arange(n)
     v[every, before] = 0
-    back = np.empty((SEGMENT, n, n_states), dtype=np.int8)
+    back = np.empty((SEGMENT, n, n_states), dtype=np.int16)
     for t in range(SEGMENT):
         top = v.argmax(axis=1)
         change = v < (v[every, top] - penalty)[:, None]
@@ -232,7 +234,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
             at = np.flatnonzero(acc)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(acc[at])], names=["lang", "bucket", "n"])
 
-    summed = rows.select("lang", "text").mapInArrow(count, "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    summed = vector.map_batches(rows.select("lang", "text"), count, "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = np.array(summed["lang"].to_pylist(), dtype=object)
     langs = sorted(set(names))
     table = np.zeros((len(langs), BUCKETS + len(SCRIPTS)))
@@ -246,15 +248,17 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
     span = T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType())])
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(MADE[0], T.StringType()), T.StructField(MADE[1], T.DoubleType()), T.StructField(MADE[2], T.ArrayType(span))])
     where = keep.index(text_col)
+    # a segment has a number for each pair of states; a word takes six bytes or so
+    limit = min(vector.CHUNK_BYTES, 6 * SEGMENT * STATES // max(1, len(model.langs)) ** 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = vector.buffers(batch.column(where))
-            for i, j in vector.ranges(offsets):
+            for i, j in vector.ranges(offsets, limit):
                 made = _labelled(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model, penalty)
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *made], names=[*keep, *MADE])
 
-    return docs.select(*(docs[c] for c in keep)).mapInArrow(run, schema)
+    return vector.map_batches(docs.select(*(docs[c] for c in keep)), run, schema)
 
 
 def _labelled(data: np.ndarray, offsets: np.ndarray, model: Model, penalty: float) -> list[pa.Array]:

@@ -61,3 +61,39 @@ def test_spans_and_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert langid.identify(empty, model).count() == 0
     assert [r.lang_pred for r in langid.identify(spark.createDataFrame(rows[:1], "doc_id long, text string"), langid.train(empty)).collect()] == ["und"]
+
+
+def test_more_languages_than_a_byte_counts(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = [f"{letters[k % 26]}{letters[k // 26]}q" * 2 for k in range(200)]
+    rows = [(i, f"{own[i]} {own[i]}x {own[i]}y " * 4, f"l{i:03d}") for i in range(200)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    mixed = [(i, f"{own[i]} {own[i]}x " * 40 + f"{own[-1 - i]} {own[-1 - i]}y " * 50) for i in range(100)]
+    got = {r.doc_id: [s.lang for s in r.lang_spans] for r in langid.identify(spark.createDataFrame(mixed, "doc_id long, text string"), model, penalty=4.0).collect()}
+    assert got == {i: [f"l{i:03d}", f"l{199 - i:03d}"] for i in range(100)}
+
+
+def test_spans_of_mixed_texts(spark, sf):
+    """Halves of held-out texts of two languages: nearly every word gets the label of its half."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    held = [r for r in docs.where(langid.held_out(F.col("doc_id"))).orderBy("doc_id").collect() if sum(c.isalpha() for c in r.text or "") > 200]
+    pairs = [(k, a, b) for k, (a, b) in enumerate(zip(held, held[1:])) if a.lang != b.lang]
+    rows = [(k, a.text[:3000] + "\n" + b.text[:3000]) for k, a, b in pairs]
+    right = total = 0
+    halves = spark.createDataFrame([(2 * k + j, x.text[:3000]) for k, *two in pairs for j, x in enumerate(two)], "doc_id long, text string")
+    words = {r.doc_id: sum(s.n_words for s in r.lang_spans) for r in langid.identify(halves, model).collect()}
+    for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        _, a, b = next(p for p in pairs if p[0] == r.doc_id)
+        label = [s.lang for s in r.lang_spans for _ in range(s.n_words)]
+        cut = words[2 * r.doc_id]
+        right += sum(x == a.lang for x in label[:cut]) + sum(x == b.lang for x in label[cut:])
+        total += len(label)
+    assert len(pairs) >= 10 and right >= 0.95 * total
+
+
+def test_very_long_texts(spark):
+    train = [(i, t, l) for i in range(4) for t, l in (("the cat and the dog ", "en"), ("les chats et les chiens ", "fr"))]
+    model = langid.train(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    got = langid.identify(spark.createDataFrame([(1, "les chats et les chiens " * 90_000 + "the cat and the dog " * 20)], "doc_id long, text string"), model).first()
+    assert got.lang_pred == "fr" and [s.lang for s in got.lang_spans] == ["fr", "en"]
