@@ -1,154 +1,261 @@
 """Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
 
-The corpus is dealt by id into reference blocks of bounded size. Each block indexes
-every window of `window` consecutive words by a 64-bit hash, with the smallest id that
-has it. The indexes are exchanged by ranges of the hash, one packed message from each
-block to each range, so that a window costs a message entry once for each block and not
-once for each document: a passage in a third of all documents is no hot key. Each range
-answers a block with the windows that begin earlier in another block, and with their
-first document.
-
-With the answers, every document is parsed greedily relative to the reference: a factor
-starts at a window that an earlier document has and goes on for as long as the next
-word's window leads to the same document. Where it ends, the windows over the factor's
-boundary are looked up one by one and may start another, overlapping factor, so no
-repeated window is lost between two factors. Words in factors are duplicates.
+The corpus is dealt by id into reference blocks of bounded size, and documents are parsed
+greedily against the blocks, in two parts.
+
+Against its own block: every window of `window` consecutive words of the block is indexed
+with the place where the document of least id first has it. A factor starts at the first
+window of a document whose text begins earlier, in a document of smaller id, and is
+extended in the block's text, word by word, for as long as both texts agree. The windows
+that cross the factor's end are looked up next, so no repeated window is lost between two
+factors. Windows inside factors are settled and go no further.
+
+Against all other blocks: only windows outside those factors are left, one row for each
+and block. Most cannot occur elsewhere, and a cheap test says so: of the runs of
+`window // 2 + 1` words in a window the one of least hash is its seed; equal windows have
+equal seeds, and consecutive windows mostly share one. Blocks exchange their distinct
+seeds; only windows whose seed another block has too are exchanged themselves, with their
+id and position, and each gets the position of its first occurrence in a document of
+smaller id. Runs of windows that follow one another there are factors too.
+
+Every exchange is by a hash of text, a row for each distinct seed or window of a block, so
+that rows grow with the input and a passage in a third of all documents costs a row for
+each block and not for each document.
 
 Defined results: a null or empty text has no words, no factors and the empty kept text.
 Rows with the same id do not make one another duplicates; a null id counts as larger
-than every other. Texts are parsed whole. Equality of windows is that of 64-bit hashes
-of their words.
+than every other. Texts are parsed whole. Windows are equal if two 64-bit hashes, of two
+independent hashes of their words, are equal; factors are extended by the same pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vector
 
 _LAST = np.int64(2**63 - 1)
-_HASHER = vector.WordHasher("space")
-
-
-def pack(values: np.ndarray, delta: bool = False) -> bytes:
-    """Eight-byte integers by byte planes, compressed; sorted ones by their differences."""
-    x = values.view(np.uint64)
-    if delta and len(x):
-        x = np.concatenate([x[:1], np.diff(x)])
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpack(raw: bytes, kind: type, delta: bool = False) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8)
-    x = np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view(np.uint64)
-    return (np.cumsum(x, dtype=np.uint64) if delta else x).view(kind)
-
-
-def _windows(texts: pa.ChunkedArray, ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of the block in order, and the row of its document."""
-    hashes, rows = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int32)]
-    base = 0
-    for chunk in texts.chunks:
-        data, offsets = vector.buffers(chunk)
-        for i, j in vector.ranges(offsets):
-            part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            starts, ends, row = _HASHER.spans(part, off)
-            h, at = vector.grams(_HASHER.hashes(part, starts, ends), row, window)
-            hashes.append(h)
-            rows.append((row[at] + base + i).astype(np.int32))
-        base += len(chunk)
-    return np.concatenate(hashes), np.concatenate(rows)
-
-
-def _first(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes in order, the smallest owner of each, and the place of each window among them."""
-    order = np.argsort(hashes, kind="stable")
-    s = hashes[order]
-    new = np.ones(len(s), dtype=bool)
-    new[1:] = s[1:] != s[:-1]
+_HASHERS = vector.WordHasher("space"), vector.WordHasher("space", salt=0x5851F42D4C957F2D)
+
+
+class Block:
+    """The documents of one block in the order of their ids: words, and the windows of `window` words."""
+
+    def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray, window: int, whole: bool = True):
+        own = ids.fill_null(int(_LAST)).to_numpy().astype(np.int64)
+        order = np.argsort(own, kind="stable")
+        self.window, self.ids, self.null = window, own[order], ids.is_null().to_numpy()[order]
+        column = texts.combine_chunks()
+        column = column.take(pa.array(order)) if len(order) else pa.array([], pa.string())
+        self.data, self.offsets = vector.buffers(column)
+        parts: list[list[np.ndarray]] = [[], [], [], []]
+        for i, j in vector.ranges(self.offsets):
+            base = self.offsets[i]
+            data = self.data[base : self.offsets[j]]
+            starts, ends, row = _HASHERS[0].spans(data, self.offsets[i : j + 1] - base)
+            hashes = [h.hashes(data, starts, ends) for h in _HASHERS[: 1 + whole]]
+            for part, x in zip(parts, (starts + base, ends + base, (row + i).astype(np.int32), np.stack(hashes))):
+                part.append(x)
+        none = np.zeros(0, dtype=np.int64)
+        self.starts, self.ends = (np.concatenate(p) if p else none for p in parts[:2])
+        self.row = np.concatenate(parts[2]) if parts[2] else none.astype(np.int32)
+        self.words = np.concatenate(parts[3], axis=1) if parts[3] else np.zeros((1 + whole, 0), dtype=np.uint64)
+        self.first_word = np.searchsorted(self.row, np.arange(len(own) + 1))
+        # the word at which each window starts
+        last = max(0, len(self.row) - window + 1)
+        self.at = np.flatnonzero(self.row[:last] == self.row[window - 1 :]) if last else none
+
+    def seeds(self) -> np.ndarray:
+        """The seed of each window."""
+        n = self.window // 2 + 1
+        if not len(self.at):
+            return np.zeros(0, dtype=np.uint64)
+        least, span, width = vector.runs(self.words[0], n), 1, self.window - n + 1
+        while 2 * span <= width:
+            least, span = np.minimum(least[:-span], least[span:]), 2 * span
+        rest = width - span
+        return (np.minimum(least[: len(least) - rest], least[rest:]) if rest else least)[self.at]
+
+    def first_places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both hashes of each window, and the first window of the block that equals it."""
+        one, two = (vector.runs(h, self.window)[self.at] if len(self.at) else np.zeros(0, dtype=np.uint64) for h in self.words)
+        order = np.argsort(one, kind="stable")
+        first = _group_firsts(one[order], order)
+        if not np.array_equal(two[first], two):  # windows that differ share the first hash
+            order = np.lexsort((two, one))
+            first = _group_firsts(one[order], order, two[order])
+        return one, two, first
+
+    def repeated(self, first: np.ndarray) -> np.ndarray:
+        """The windows that a document of smaller id in the block has."""
+        row = self.row[self.at]
+        return np.flatnonzero(self.ids[row[first]] < self.ids[row])
+
+    def factors(self, first: np.ndarray) -> list[tuple[int, int, int]]:
+        """The greedy parse against the block itself: (first word, words, first word of the source)."""
+        hits = self.repeated(first)
+        if not len(hits):
+            return []
+        ends = self.first_word[1:]
+        begin = self.at[hits]
+        source = self.at[first[hits]]
+        most = np.minimum(ends[self.row[begin]] - begin, ends[self.row[source]] - source).tolist()
+        begin, source, out, k = begin.tolist(), source.tolist(), [], 0
+        last = hits.tolist()
+        while k < len(last):
+            i, p = begin[k], source[k]
+            size = self._agree(i, p, most[k])
+            out.append((i, size, p))
+            # windows that cross the factor's end come next
+            after = last[k] + size - self.window + 1
+            k = k + 1 if k + 1 < len(last) and last[k + 1] >= after else int(np.searchsorted(hits, after))
+        return out
+
+    def _agree(self, i: int, p: int, most: int) -> int:
+        """How many words from i on, at most `most`, agree with those from p on."""
+        size, step = self.window, 32
+        while size < most:
+            n = min(step, most - size)
+            same = (self.words[:, i + size : i + size + n] == self.words[:, p + size : p + size + n]).all(axis=0)
+            if not same.all():
+                return size + int(same.argmin())
+            size, step = size + n, 4 * step
+        return size
+
+
+def _group_firsts(key: np.ndarray, order: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+    """For each item, the first of its group; `key`, and `more`, are in `order`, which is stable."""
+    if not len(key):
+        return order
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    if more is not None:
+        new[1:] |= more[1:] != more[:-1]
     begin = np.flatnonzero(new)
-    place = np.empty(len(s), dtype=np.int64)
-    place[order] = np.cumsum(new) - 1
-    least = np.minimum.reduceat(owner[order], begin) if len(begin) else owner[:0]
-    return s[begin], least, place
-
-
-def _ids(column: pa.ChunkedArray) -> np.ndarray:
-    return column.fill_null(int(_LAST)).to_numpy().astype(np.int64)
+    out = np.empty(len(key), dtype=np.int64)
+    out[order] = np.repeat(order[begin], np.diff(np.append(begin, len(key))))
+    return out
+
+
+def block_seeds(block: Block) -> np.ndarray:
+    """Distinct seeds of the block."""
+    seeds = block.seeds()
+    if not len(seeds):
+        return seeds
+    new = np.ones(len(seeds), dtype=bool)
+    new[1:] = seeds[1:] != seeds[:-1]
+    return np.unique(seeds[new])
+
+
+def open_windows(block: Block, shared: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows outside the block's own factors whose seed is in `shared` (sorted), once each: hashes, id, position and place."""
+    one, two, first = block.first_places()
+    left = first == np.arange(len(first))
+    left[block.repeated(first)] = False
+    places = np.flatnonzero(left)
+    if len(places) and len(shared):
+        seeds = block.seeds()[places]
+        at = np.minimum(np.searchsorted(shared, seeds), len(shared) - 1)
+        places = places[shared[at] == seeds]
+    else:
+        places = places[:0]
+    word = block.at[places]
+    row = block.row[word]
+    return one[places], two[places], block.ids[row], word - block.first_word[row], places
+
+
+def parse(block: Block, places: np.ndarray, first_ids: np.ndarray, first_positions: np.ndarray) -> pa.Table:
+    """The parse of each document, given the windows (places) that other blocks have in documents of smaller ids."""
+    n, window = len(block.ids), block.window
+    _, _, first = block.first_places()
+    own = block.factors(first)
+    found = [np.array([f[0] for f in own], dtype=np.int64), np.array([f[1] for f in own], dtype=np.int64), block.ids[block.row[[f[2] for f in own]]] if own else np.zeros(0, dtype=np.int64)]
+    if len(places):
+        # the answer for a window holds for equal windows of documents with the same id
+        answer = np.full(len(first), -1, dtype=np.int64)
+        answer[places] = np.arange(len(places))
+        row = block.row[block.at]
+        got = np.where(block.ids[row] == block.ids[row[first]], answer[first], -1)
+        hit = np.flatnonzero(got >= 0)
+        source, position = first_ids[got[hit]], first_positions[got[hit]]
+        new = np.ones(len(hit), dtype=bool)
+        new[1:] = (np.diff(hit) != 1) | (row[hit[1:]] != row[hit[:-1]]) | (source[1:] != source[:-1]) | (np.diff(position) != 1)
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(hit))) + window - 1
+        found = [np.concatenate(x) for x in zip(found, (block.at[hit[begin]], size, source[begin]))]
+    order = np.argsort(found[0], kind="stable")
+    start, size, source = (x[order] for x in found)
+    cover = np.zeros(len(block.row) + 1, dtype=np.int64)
+    np.add.at(cover, start, 1)
+    np.add.at(cover, start + size, -1)
+    keep = np.cumsum(cover[:-1]) == 0
+    n_words = np.diff(block.first_word)
+    kept = np.bincount(block.row[keep], minlength=n)
+    text = _joined(block.data, block.starts[keep], block.ends[keep], block.row[keep], n)
+    row = block.row[start]
+    lists = pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (start - block.first_word[row], size, source)], names=["start", "n_words", "first_id"])
+    )
+    return pa.table({"id": pa.array(block.ids, mask=block.null), "n_words": n_words.astype(np.int64), "n_removed": (n_words - kept).astype(np.int64), "kept_text": text, "factors": lists})
 
 
-def _bounds(hashes: np.ndarray, n_ranges: int) -> np.ndarray:
-    """Where each of n_ranges equal ranges of the hash begins among sorted hashes."""
-    width = (1 << 64) // n_ranges
-    return np.concatenate([[0], np.searchsorted(hashes, np.array([k * width for k in range(1, n_ranges)], dtype=np.uint64)), [len(hashes)]])
+def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, n_rows: int) -> pa.Array:
+    """The words of each row, joined by one space."""
+    size = ends - starts + 1
+    at = np.cumsum(size) - size
+    padded = np.concatenate([data, np.array([32], dtype=np.uint8)])
+    out = vector.ragged(padded, starts, size)
+    if len(size):
+        out[at + size - 1] = 32
+    total = np.concatenate([[0], np.cumsum(size)])
+    bounds = total[np.searchsorted(row, np.arange(n_rows + 1))]
+    some = np.diff(bounds) > 0
+    # drop the space after each row's last word
+    drop = bounds[1:][some] - 1
+    mask = np.ones(len(out), dtype=bool)
+    mask[drop] = False
+    return vector.binary_array(out[mask], bounds - np.concatenate([[0], np.cumsum(some)]), text=True)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, blocks: int | None = None) -> DataFrame:
-    """One row a document: id, n_words, n_removed, kept_text and its factors (start and length in words, first document).
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, blocks: int | None = None, block_bytes: int = 8 << 20, task_bytes: int = 128 << 20) -> DataFrame:
+    """One row a document: id, n_words, n_removed, kept_text and its factors (start and length in words, id of the source).
 
-    `blocks` reference blocks, by default two for each shuffle partition; set either
-    so that a block holds a few MB of text. There is one range of hashes for each
-    shuffle partition, so an index takes about 2 n^2 messages for n partitions. The ids must be integers. Texts are shuffled
-    once, by block, and both passes read that exchange.
+    Blocks hold about `block_bytes` of text, so a task's memory does not follow the input;
+    a smaller input still has a block for each core. `blocks` sets their number. Texts are
+    shuffled once, by block, into tasks of about `task_bytes`; all three passes read that
+    exchange. The ids must be integers.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_blocks = blocks or 2 * parts
-    n_ranges = parts
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    if blocks is None:
+        blocks = max(1, -(-total // block_bytes), min(spark.sparkContext.defaultParallelism, total // (256 << 10)))
+    tasks = max(1, min(blocks, max(shuffle, -(-total // task_bytes))))
+    # a row of a seed or window takes a few bytes for each word of text
+    spread = max(shuffle, -(-total // task_bytes))
     dealt = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(n_blocks)).cast("int").alias("block")
-    )
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(blocks)).cast("int").alias("block")
+    ).repartition(tasks, "block")
 
-    def index(key: tuple, block: pa.Table) -> pa.Table:
-        ids = _ids(block["id"])
-        hashes, rows = _windows(block["text"], ids, window)
-        distinct, least, _ = _first(hashes, ids[rows])
-        cut = _bounds(distinct, n_ranges)
-        used = np.flatnonzero(np.diff(cut))
+    def exchanged(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.repartition(spread, *keys) if spread > shuffle else rows
+
+    def seeds(key: tuple, block: pa.Table) -> pa.Table:
+        found = block_seeds(Block(block["id"], block["text"], window, whole=False))
+        return pa.table({"seed": found.view(np.int64), "block": np.full(len(found), key[0].as_py(), dtype=np.int32)})
+
+    def left(key: tuple, block: pa.Table, shared: pa.Table) -> pa.Table:
+        one, two, ids, positions, places = open_windows(Block(block["id"], block["text"], window), np.sort(shared["seed"].to_numpy().astype(np.int64).view(np.uint64)))
         return pa.table(
-            {
-                "part": pa.array(used.astype(np.int32)),
-                "block": pa.array(np.full(len(used), key[0].as_py(), dtype=np.int32)),
-                "hashes": pa.array([pack(distinct[cut[k] : cut[k + 1]], True) for k in used], pa.binary()),
-                "firsts": pa.array([pack(least[cut[k] : cut[k + 1]]) for k in used], pa.binary()),
-            }
+            {"one": one.view(np.int64), "two": two.view(np.int64), "id": ids, "position": positions.astype(np.int32), "block": np.full(len(one), key[0].as_py(), dtype=np.int32), "place": places.astype(np.int32)}
         )
 
-    def answer(key: tuple, messages: pa.Table) -> pa.Table:
-        """For each block, the windows of this range that an earlier document of another block has."""
-        blocks_ = messages["block"].to_pylist()
-        hashes = [unpack(x, np.uint64, True) for x in messages["hashes"].to_pylist()]
-        firsts = [unpack(x, np.int64) for x in messages["firsts"].to_pylist()]
-        least, place = _first(np.concatenate(hashes), np.concatenate(firsts))[1:]
-        out, at = [], 0
-        for b, h, f in zip(blocks_, hashes, firsts):
-            g = least[place[at : at + len(h)]]
-            at += len(h)
-            hit = np.flatnonzero(g < f)
-            if len(hit):
-                out.append((b, pack(h[hit], True), pack(g[hit])))
-        return pa.table({"block": pa.array([x[0] for x in out], pa.int32()), "hashes": pa.array([x[1] for x in out], pa.binary()), "firsts": pa.array([x[2] for x in out], pa.binary())})
-
-    def parse(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
-        ids = _ids(block["id"])
-        hashes, rows = _windows(block["text"], ids, window)
-        distinct, least, place = _first(hashes, ids[rows])
-        if answers.num_rows:
-            h = np.concatenate([unpack(x, np.uint64, True) for x in answers["hashes"].to_pylist()])
-            g = np.concatenate([unpack(x, np.int64) for x in answers["firsts"].to_pylist()])
-            least[np.searchsorted(distinct, h)] = g
-        source = least[place]
-        source[source >= ids[rows]] = -1 if not len(ids) or ids.min() >= 0 else np.iinfo(np.int64).min
-        none = -1 if not len(ids) or ids.min() >= 0 else np.iinfo(np.int64).min
-        return _factored(block, source, rows, window, none)
+    def parsed(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
+        return parse(Block(block["id"], block["text"], window), *(answers[c].to_numpy().astype(np.int64) for c in ("place", "first_id", "first_position")))
 
     made = T.StructType(
         [
@@ -159,74 +266,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
             T.StructField("factors", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("first_id", T.LongType())]))),
         ]
     )
-    messages = dealt.groupBy("block").applyInArrow(index, "part int, block int, hashes binary, firsts binary")
-    answers = messages.groupBy("part").applyInArrow(answer, "block int, hashes binary, firsts binary")
-    parsed = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(parse, made)
-    return parsed.withColumnRenamed("id", id_col)
-
-
-def _factored(block: pa.Table, source: np.ndarray, rows: np.ndarray, window: int, none: int) -> pa.Table:
-    """The parse of each document of a block, given the first document of each window."""
-    n_words, n_removed, kept, factors = [], [], [], []
-    done = row0 = 0
-    for chunk in block["text"].chunks:
-        data, offsets = vector.buffers(chunk)
-        for i, j in vector.ranges(offsets):
-            part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            starts, ends, row = _HASHER.spans(part, off)
-            first_word = np.searchsorted(row, np.arange(j - i + 1))
-            per_row = np.diff(first_word)
-            many = np.maximum(per_row - window + 1, 0)
-            total = int(many.sum())
-            src = source[done : done + total]
-            done += total
-            # index of the word at which each window starts
-            at = np.arange(total) + np.repeat(first_word[:-1] - (np.cumsum(many) - many), many)
-            own = np.repeat(np.arange(j - i), many)
-            hit = src != none
-            begin = hit.copy()
-            begin[1:] &= (src[1:] != src[:-1]) | (own[1:] != own[:-1])
-            f = np.flatnonzero(begin)
-            last = hit.copy()
-            last[:-1] &= (src[:-1] != src[1:]) | (own[:-1] != own[1:])
-            size = np.flatnonzero(last) - f + window
-            cover = np.zeros(len(starts) + 1, dtype=np.int64)
-            np.add.at(cover, at[f], 1)
-            np.add.at(cover, at[f] + size, -1)
-            keep = np.cumsum(cover[:-1]) == 0
-            removed = per_row - np.add.reduceat(np.concatenate([keep, [False]]).astype(np.int64), first_word[:-1]) * (per_row > 0) if j > i else per_row
-            n_words.append(per_row)
-            n_removed.append(removed)
-            kept.append(_joined(part, starts[keep], ends[keep], row[keep], j - i))
-            per = np.bincount(own[f], minlength=j - i)
-            factors.append((per, at[f] - first_word[own[f]], size, src[f]))
-        row0 += len(chunk)
-    if not n_words:
-        n_words = n_removed = [np.zeros(0, dtype=np.int64)]
-        kept, factors = [pa.array([], pa.string())], [(np.zeros(0, dtype=np.int64),) * 4]
-    counts, *fields = (np.concatenate(x) for x in zip(*factors))
-    lists = pa.ListArray.from_arrays(
-        pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in fields], names=["start", "n_words", "first_id"])
-    )
-    return pa.table({"id": block["id"], "n_words": np.concatenate(n_words).astype(np.int64), "n_removed": np.concatenate(n_removed).astype(np.int64), "kept_text": pa.chunked_array(kept, pa.string()), "factors": lists})
-
-
-def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, n_rows: int) -> pa.Array:
-    """The words of each row, joined by one space."""
-    size = ends - starts + 1
-    at = np.cumsum(size) - size
-    padded = np.concatenate([data, np.array([32], dtype=np.uint8)])
-    out = vector.ragged(padded, starts, size)
-    if len(size):
-        out[at + size - 1] = 32
-    total = np.concatenate([[0], np.cumsum(size)])
-    bounds = total[np.searchsorted(row, np.arange(n_rows + 1))]
-    some = np.diff(bounds) > 0
-    # drop the space after each row's last word
-    drop = bounds[1:][some] - 1
-    mask = np.ones(len(out), dtype=bool)
-    mask[drop] = False
-    return vector.binary_array(out[mask], bounds - np.concatenate([[0], np.cumsum(some)]), text=True)
+    by_block = dealt.groupBy("block")
+    same_seed = Window.partitionBy("seed")
+    held = exchanged(by_block.applyInArrow(seeds, "seed long, block int"), "seed")
+    shared = held.select("*", F.min("block").over(same_seed).alias("lo"), F.max("block").over(same_seed).alias("hi")).where("lo < hi").select("block", "seed")
+    rows = exchanged(by_block.cogroup(shared.groupBy("block")).applyInArrow(left, "one long, two long, id long, position int, block int, place int"), "one", "two")
+    first = F.min(F.struct("id", "position")).over(Window.partitionBy("one", "two"))
+    answers = rows.withColumn("first", first).where("first.id < id").select("block", "place", F.col("first.id").alias("first_id"), F.col("first.position").alias("first_position"))
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(parsed, made).withColumnRenamed("id", id_col)
 
 
 def oracle(window: int = 13) -> str:

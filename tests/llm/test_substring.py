@@ -56,3 +56,63 @@ def test_factors_name_the_first_document(spark):
     got = {r.doc_id: r for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [tuple(f) for f in got[3].factors] == [(1, 15, 1), (16, 15, 2)]
     assert got[3].kept_text == "x y"
+
+
+def _block(texts, window=4):
+    import pyarrow as pa
+
+    return substring.Block(pa.chunked_array([pa.array(range(len(texts)), pa.int64())]), pa.chunked_array([pa.array(texts)]), window)
+
+
+def test_factors_are_greedy_and_contiguous_in_the_source():
+    rng = random.Random(9)
+    words = "a b c d e f".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(60)]
+    block = _block(texts)
+    said = [t.split() for t in texts]
+    flat = [w for t in said for w in t]
+    first = block.first_places()[2]
+    covered = set()
+    for i, size, p in block.factors(first):
+        row, source = int(block.row[i]), int(block.row[p])
+        assert source < row and size >= 4 and flat[i : i + size] == flat[p : p + size]
+        ends = block.first_word[row + 1], block.first_word[source + 1]
+        assert i + size == ends[0] or p + size == ends[1] or flat[i + size] != flat[p + size]
+        covered.update(range(i, i + size))
+    want, at = set(), 0
+    seen = {}
+    for k, w in enumerate(said):
+        for j in range(len(w) - 3):
+            if seen.setdefault(tuple(w[j : j + 4]), k) < k:
+                want.update(range(at + j, at + j + 4))
+        at += len(w)
+    assert covered == want
+
+
+def test_rows_depend_on_the_factors(monkeypatch):
+    import numpy as np
+
+    block, none = _block(["a b c d e f", "x a b c d y"]), np.zeros(0, dtype=np.int64)
+    assert substring.parse(block, none, none, none)["kept_text"].to_pylist() == ["a b c d e f", "x y"]
+    assert substring.open_windows(block, np.unique(block.seeds()))[4].tolist() == [0, 1, 2, 3, 5]
+    monkeypatch.setattr(substring.Block, "factors", lambda self, first: [])
+    assert substring.parse(block, none, none, none)["kept_text"].to_pylist() == ["a b c d e f", "x a b c d y"]
+
+
+def test_windows_that_share_one_hash_stay_apart(monkeypatch):
+    from quirefold.llm import vector
+
+    runs = vector.runs
+    monkeypatch.setattr(vector, "runs", lambda words, n: runs(words, n) if n != 4 else runs(words, n) % vector._U(3) if words is block.words[0] else runs(words, n))
+    block = _block(["a b c d e f g h", "i j a b c d k l", "m n o p q r s t"])
+    own = [tuple(f) for f in block.factors(block.first_places()[2])]
+    assert own == [(10, 4, 0)]
+
+
+def test_very_long_texts_and_many_blocks(spark):
+    rng = random.Random(4)
+    long = " ".join(f"v{rng.randrange(10**6)}" for _ in range(250_000))
+    rows = [(1, long), (2, "p " + long + " q"), (3, long[: len(long) // 2])] + [(10 + k, long[k * 1000 : k * 1000 + 400]) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring.dedup(df, blocks=5).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
+    assert {tuple(r) for r in got} == brute(rows)
