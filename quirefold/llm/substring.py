@@ -15,8 +15,8 @@ and block. Most cannot occur elsewhere, and a cheap test says so: of the runs of
 `window // 2 + 1` words in a window the one of least hash is its seed; equal windows have
 equal seeds, and consecutive windows mostly share one. Blocks exchange their distinct
 seeds; only windows whose seed another block has too are exchanged themselves, with their
-id and position, and each gets the position of its first occurrence in a document of
-smaller id. Runs of windows that follow one another there are factors too.
+id and place, and each gets the place of its first occurrence in a document of smaller
+id. Runs of windows that follow one another there are factors too.
 
 Every exchange is by a hash of text, a row for each distinct seed or window of a block, so
 that rows grow with the input and a passage in a third of all documents costs a row for
@@ -24,8 +24,9 @@ each block and not for each document.
 
 Defined results: a null or empty text has no words, no factors and the empty kept text.
 Rows with the same id do not make one another duplicates; a null id counts as larger
-than every other. Texts are parsed whole. Windows are equal if two 64-bit hashes, of two
-independent hashes of their words, are equal; factors are extended by the same pair.
+than every other. Texts are parsed whole. Words are equal if two independent 64-bit hashes
+are; windows of other blocks are if 96 bits made of both are, so at 10^13 windows a false
+match is expected once in a thousand runs.
 """
 
 from __future__ import annotations
@@ -60,14 +61,15 @@ class Block:
             hashes = [h.hashes(data, starts, ends) for h in _HASHERS[: 1 + whole]]
             for part, x in zip(parts, (starts + base, ends + base, (row + i).astype(np.int32), np.stack(hashes))):
                 part.append(x)
-        none = np.zeros(0, dtype=np.int64)
-        self.starts, self.ends = (np.concatenate(p) if p else none for p in parts[:2])
+        small = np.int32 if len(self.data) < 1 << 31 else np.int64
+        none = np.zeros(0, dtype=small)
+        self.starts, self.ends = (np.concatenate(p).astype(small) if p else none for p in parts[:2])
         self.row = np.concatenate(parts[2]) if parts[2] else none.astype(np.int32)
         self.words = np.concatenate(parts[3], axis=1) if parts[3] else np.zeros((1 + whole, 0), dtype=np.uint64)
         self.first_word = np.searchsorted(self.row, np.arange(len(own) + 1))
         # the word at which each window starts
         last = max(0, len(self.row) - window + 1)
-        self.at = np.flatnonzero(self.row[:last] == self.row[window - 1 :]) if last else none
+        self.at = np.flatnonzero(self.row[:last] == self.row[window - 1 :]).astype(small) if last else none
 
     def seeds(self) -> np.ndarray:
         """The seed of each window."""
@@ -152,7 +154,7 @@ def block_seeds(block: Block) -> np.ndarray:
 
 
 def open_windows(block: Block, shared: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Windows outside the block's own factors whose seed is in `shared` (sorted), once each: hashes, id, position and place."""
+    """Windows outside the block's own factors whose seed is in `shared` (sorted), once each: hashes, id and place."""
     one, two, first = block.first_places()
     left = first == np.arange(len(first))
     left[block.repeated(first)] = False
@@ -163,12 +165,10 @@ def open_windows(block: Block, shared: np.ndarray) -> tuple[np.ndarray, ...]:
         places = places[shared[at] == seeds]
     else:
         places = places[:0]
-    word = block.at[places]
-    row = block.row[word]
-    return one[places], two[places], block.ids[row], word - block.first_word[row], places
+    return one[places], two[places], block.ids[block.row[block.at[places]]], places
 
 
-def parse(block: Block, places: np.ndarray, first_ids: np.ndarray, first_positions: np.ndarray) -> pa.Table:
+def parse(block: Block, places: np.ndarray, first_ids: np.ndarray, first_places: np.ndarray) -> pa.Table:
     """The parse of each document, given the windows (places) that other blocks have in documents of smaller ids."""
     n, window = len(block.ids), block.window
     _, _, first = block.first_places()
@@ -181,9 +181,9 @@ def parse(block: Block, places: np.ndarray, first_ids: np.ndarray, first_positio
         row = block.row[block.at]
         got = np.where(block.ids[row] == block.ids[row[first]], answer[first], -1)
         hit = np.flatnonzero(got >= 0)
-        source, position = first_ids[got[hit]], first_positions[got[hit]]
+        source, there = first_ids[got[hit]], first_places[got[hit]]
         new = np.ones(len(hit), dtype=bool)
-        new[1:] = (np.diff(hit) != 1) | (row[hit[1:]] != row[hit[:-1]]) | (source[1:] != source[:-1]) | (np.diff(position) != 1)
+        new[1:] = (np.diff(hit) != 1) | (row[hit[1:]] != row[hit[:-1]]) | (source[1:] != source[:-1]) | (np.diff(there) != 1)
         begin = np.flatnonzero(new)
         size = np.diff(np.append(begin, len(hit))) + window - 1
         found = [np.concatenate(x) for x in zip(found, (block.at[hit[begin]], size, source[begin]))]
@@ -195,7 +195,12 @@ def parse(block: Block, places: np.ndarray, first_ids: np.ndarray, first_positio
     keep = np.cumsum(cover[:-1]) == 0
     n_words = np.diff(block.first_word)
     kept = np.bincount(block.row[keep], minlength=n)
-    text = _joined(block.data, block.starts[keep], block.ends[keep], block.row[keep], n)
+    texts = []
+    for i, j in vector.ranges(block.offsets):
+        at = slice(block.first_word[i], block.first_word[j])
+        some = keep[at]
+        texts.append(_joined(block.data, block.starts[at][some].astype(np.int64), block.ends[at][some].astype(np.int64), block.row[at][some] - i, j - i))
+    text = pa.chunked_array(texts, pa.string())
     row = block.row[start]
     lists = pa.ListArray.from_arrays(
         pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (start - block.first_word[row], size, source)], names=["start", "n_words", "first_id"])
@@ -207,8 +212,8 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndar
     """The words of each row, joined by one space."""
     size = ends - starts + 1
     at = np.cumsum(size) - size
-    padded = np.concatenate([data, np.array([32], dtype=np.uint8)])
-    out = vector.ragged(padded, starts, size)
+    low, high = (int(starts[0]), int(ends[-1])) if len(size) else (0, 0)
+    out = vector.ragged(np.append(data[low:high], np.uint8(32)), starts - low, size)
     if len(size):
         out[at + size - 1] = 32
     total = np.concatenate([[0], np.cumsum(size)])
@@ -249,13 +254,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         return pa.table({"seed": found.view(np.int64), "block": np.full(len(found), key[0].as_py(), dtype=np.int32)})
 
     def left(key: tuple, block: pa.Table, shared: pa.Table) -> pa.Table:
-        one, two, ids, positions, places = open_windows(Block(block["id"], block["text"], window), np.sort(shared["seed"].to_numpy().astype(np.int64).view(np.uint64)))
-        return pa.table(
-            {"one": one.view(np.int64), "two": two.view(np.int64), "id": ids, "position": positions.astype(np.int32), "block": np.full(len(one), key[0].as_py(), dtype=np.int32), "place": places.astype(np.int32)}
-        )
+        one, two, ids, places = open_windows(Block(block["id"], block["text"], window), np.sort(shared["seed"].to_numpy().astype(np.int64).view(np.uint64)))
+        # what changes from row to row stands together, so that the exchange compresses the rest
+        two_place = (two.astype(np.uint64) << np.uint64(32)) | places.astype(np.uint64)
+        return pa.table({"block": np.full(len(one), key[0].as_py(), dtype=np.int32), "id": ids, "one": one.view(np.int64), "two_place": two_place.view(np.int64)})
 
     def parsed(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
-        return parse(Block(block["id"], block["text"], window), *(answers[c].to_numpy().astype(np.int64) for c in ("place", "first_id", "first_position")))
+        return parse(Block(block["id"], block["text"], window), *(answers[c].to_numpy().astype(np.int64) for c in ("place", "first_id", "first_place")))
 
     made = T.StructType(
         [
@@ -270,9 +275,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     same_seed = Window.partitionBy("seed")
     held = exchanged(by_block.applyInArrow(seeds, "seed long, block int"), "seed")
     shared = held.select("*", F.min("block").over(same_seed).alias("lo"), F.max("block").over(same_seed).alias("hi")).where("lo < hi").select("block", "seed")
-    rows = exchanged(by_block.cogroup(shared.groupBy("block")).applyInArrow(left, "one long, two long, id long, position int, block int, place int"), "one", "two")
-    first = F.min(F.struct("id", "position")).over(Window.partitionBy("one", "two"))
-    answers = rows.withColumn("first", first).where("first.id < id").select("block", "place", F.col("first.id").alias("first_id"), F.col("first.position").alias("first_position"))
+    rows = by_block.cogroup(shared.groupBy("block")).applyInArrow(left, "block int, id long, one long, two_place long")
+    rows = (rows.repartition(spread, "one") if spread > shuffle else rows.repartition("one")).withColumns({"two": F.shiftright("two_place", 32), "place": F.col("two_place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")})
+    first = F.min(F.struct("id", "place")).over(Window.partitionBy("one", "two"))
+    answers = rows.withColumn("first", first).where("first.id < id").select("block", "place", F.col("first.id").alias("first_id"), F.col("first.place").alias("first_place"))
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(parsed, made).withColumnRenamed("id", id_col)
 
 

@@ -94,7 +94,7 @@ def test_rows_depend_on_the_factors(monkeypatch):
 
     block, none = _block(["a b c d e f", "x a b c d y"]), np.zeros(0, dtype=np.int64)
     assert substring.parse(block, none, none, none)["kept_text"].to_pylist() == ["a b c d e f", "x y"]
-    assert substring.open_windows(block, np.unique(block.seeds()))[4].tolist() == [0, 1, 2, 3, 5]
+    assert substring.open_windows(block, np.unique(block.seeds()))[3].tolist() == [0, 1, 2, 3, 5]
     monkeypatch.setattr(substring.Block, "factors", lambda self, first: [])
     assert substring.parse(block, none, none, none)["kept_text"].to_pylist() == ["a b c d e f", "x a b c d y"]
 
