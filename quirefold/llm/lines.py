@@ -1,15 +1,16 @@
 """Line dedup by site-relative frequency, in DataFrame functions only.
 
 A line is boilerplate of its host if more than `ratio` of the host's pages contain it,
-and at least `min_pages` do. Boilerplate lines are dropped from every page of the host;
+and at least `min_pages` do; a line that one page alone has is no line of the site, however
+small that is. Boilerplate lines are dropped from every page of the host;
 the other lines stay in order, joined by newlines.
 
 Lines are counted by a 64-bit hash of the whole line, once for each page, with map-side
 combination, so that neither a hot host nor a hot line is gathered anywhere. A host has
 fewer boilerplate lines than lines in its mean page divided by `ratio`, so each host's
 list is bounded by its pages; all lists together are broadcast only if they hold at most
-`broadcast_lines` lines, and otherwise joined by host, where AQE can split a hot host's
-pages. Texts are not shuffled in the first case.
+`broadcast_lines` lines, and otherwise joined by host and one of `SALTS` parts, so that a
+hot host's pages are dealt over as many tasks. Texts are not shuffled in the first case.
 
 Defined results: lines without a character other than a space or tab are never dropped.
 A null text stays null and counts as a page. Pages of a null host keep every line. Every
@@ -26,6 +27,10 @@ from ..storage import checkpoint
 from . import vector
 
 
+#: Parts of a host's pages where lists are joined by host.
+SALTS = 64
+
+
 def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float, min_pages: int) -> DataFrame:
     """(host, lines): hashes of each host's boilerplate lines."""
     base = pages.select(F.col(host_col).alias("host"), F.col(text_col).alias("text")).where("host is not null")
@@ -36,15 +41,20 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float, mi
     return frequent.groupBy("host").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5, broadcast_lines: int = 200_000) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.06, min_pages: int = 2, broadcast_lines: int = 200_000) -> DataFrame:
     """`pages` without boilerplate lines in `text_col`, with n_lines and n_dropped (long)."""
     pages = pages.drop("n_lines", "n_dropped")
     host, lines = vector.fresh(pages, "host_of_lines", "lines_to_drop")
     found = checkpoint(boilerplate(pages, host_col, text_col, ratio, min_pages)).toDF(host, lines)
     size = found.agg(F.coalesce(F.sum(F.size(lines)), F.lit(0))).first()[0]
+    same = pages[host_col] == F.col(host)
     if size <= broadcast_lines:
         found = F.broadcast(found)
-    joined = pages.join(found, pages[host_col] == found[host], "left")
+    else:
+        (salt,) = vector.fresh(pages, "part_of_host")
+        found = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same = same & (F.pmod(F.xxhash64(*(pages[c] for c in pages.columns)), F.lit(SALTS)).cast("int") == F.col(salt))
+    joined = pages.join(found, same, "left")
     split = F.split(F.col(text_col), "\n", -1)
     keep = F.filter(split, lambda x: ~(F.array_contains(F.col(lines), F.xxhash64(x)) & x.rlike("[^ \\t]")))
     # a host without boilerplate has a null list and keeps its text as it is
@@ -54,7 +64,7 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     return joined.select(*(text.alias(c) if c == text_col else pages[c] for c in pages.columns), n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"))
 
 
-def oracle(ratio: float = 0.1, min_pages: int = 5) -> str:
+def oracle(ratio: float = 0.06, min_pages: int = 2) -> str:
     return f"""
 WITH lines AS (
   SELECT doc_id, source, t.line AS line, t.pos AS pos

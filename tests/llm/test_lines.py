@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 from quirefold.llm import lines
 
 
-def brute(rows, ratio=0.1, min_pages=5):
+def brute(rows, ratio=0.06, min_pages=2):
     pages, seen = Counter(), defaultdict(Counter)
     for _, host, text in rows:
         if host is not None:
@@ -41,3 +41,10 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, "s", "x\ny", "h", "q")] * 6 + [(None, None, None, None, None)], schema)
     got = lines.drop_boilerplate(df).collect()
     assert [r.text for r in got if r.doc_id] == [""] * 6 and [r.n_lines for r in got if r.doc_id] == [2] * 6
+
+
+def test_small_sites_and_very_long_texts(spark):
+    long = "\n".join(f"line {k}" for k in range(200_000))
+    rows = [(1, "tiny", "menu\na"), (2, "tiny", "menu\nb"), (3, "tiny", "c"), (4, "one", "menu\nalone"), (5, "big", long + "\nmenu"), (6, "big", "menu\nmore")]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got == brute(rows) and got[1] == ("a", 1) and got[3] == ("c", 0) and got[4] == ("menu\nalone", 0) and got[5] == (long, 1)
