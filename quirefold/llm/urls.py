@@ -5,13 +5,18 @@ fitting rule decides. Other urls are judged by their host's tree of path templat
 tree grows a level at a time: below each template, a segment that fewer than `min_pages`
 pages have is variable and becomes `*`; any other is a branch of its own only if its
 labelled pages differ from its siblings' in how many are bad (chi-square test of two
-shares, with 5 labels on either side), and otherwise joins the merged branch `+`. Segments
-after the `depth`-th are one `**`. A template is rejected if its labelled purity, the
-share of good pages smoothed by `weight` pages of the corpus's mean, is under `least`.
+shares, with 5 labels on either side), and otherwise joins the merged branch `+`. Branches
+that are worse than their siblings are tested against one another too: those that do not
+differ from the rest of them are merged into `+worse`, and likewise into `+better`. The
+tree ends by itself, at the first level where no template has `min_pages` pages with more
+segments; what is left of a path is then one `**`. A template is rejected if its labelled
+purity, the share of good pages smoothed by `weight` pages of the corpus's mean, is under
+`least`.
 
 Each level is two counts with map-side combination and a join with the tested segments,
 which are broadcast while they are few and joined by key beyond that; hot hosts are never
-gathered, and where the join is by key AQE can split their pages. Levels are checkpointed.
+gathered, and where the join is by key AQE can split their pages. Levels are checkpointed,
+and urls without further segments take no part in the next one.
 
 Defined results: a null url or one without `://` has an empty host and path. Labels are
 those of rows whose id equals the page's; an id with several labels is bad if one is, and
@@ -21,6 +26,8 @@ each. Other columns are dropped.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,27 +55,47 @@ def ruled(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column
     return rule, verdict
 
 
-def templates(pages: DataFrame, min_pages: int, depth: int, chi_square: float) -> DataFrame:
+def _differs(good: Column, bad: Column, all_good: Column, all_bad: Column, chi_square: float) -> Column:
+    """Whether a branch has another share of bad pages than the rest of a whole that it is part of."""
+    labelled, other_bad = good + bad, all_bad - bad
+    other = all_good + all_bad - labelled
+    # chi-square of the two-by-two table good/bad, this branch/its siblings
+    cross = bad * (other - other_bad) - other_bad * good
+    both = (all_bad * all_good).cast("double") * labelled * other
+    return F.when((labelled >= 5) & (other >= 5) & (both > 0), (labelled + other) * cross.cast("double") * cross / both).otherwise(0.0) >= chi_square
+
+
+def templates(pages: DataFrame, min_pages: int, chi_square: float) -> DataFrame:
     """Rows with host, path, good and bad, plus their path template."""
+    c = F.col
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    now = checkpoint(pages.withColumn("parts", parts).withColumn("template", F.lit("")))
-    levels = min(depth, now.agg(F.coalesce(F.max(F.size("parts")), F.lit(0))).first()[0])
-    for d in range(levels):
-        here = now.where(F.size("parts") > d).select("host", "template", F.get("parts", F.lit(d)).alias("part"), "good", "bad")
-        sums = [F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")]
-        node = here.groupBy("host", "template").agg(*sums).select("host", "template", *(F.col(c).alias(f"all_{c}") for c in ("n", "good", "bad")))
-        child = here.groupBy("host", "template", "part").agg(*sums).where(F.col("n") >= min_pages).join(node, ["host", "template"])
-        labelled, other_bad = F.col("good") + F.col("bad"), F.col("all_bad") - F.col("bad")
-        other = F.col("all_good") + F.col("all_bad") - labelled
-        # chi-square of the two-by-two table good/bad, this branch/its siblings
-        cross = F.col("bad") * (other - other_bad) - other_bad * F.col("good")
-        both = (F.col("all_bad") * F.col("all_good")).cast("double") * labelled * other
-        statistic = F.when((labelled >= 5) & (other >= 5) & (both > 0), (labelled + other) * cross.cast("double") * cross / both).otherwise(0.0)
-        token = child.select("host", "template", "part", F.when(statistic >= chi_square, F.col("part")).otherwise(F.lit("+")).alias("token"))
-        step = now.withColumn("part", F.get("parts", F.lit(d))).join(_small(token), ["host", "template", "part"], "left")
-        grown = F.when(F.size("parts") > d, F.concat("template", F.lit("/"), F.coalesce("token", F.lit("*")))).otherwise(F.col("template"))
-        now = checkpoint(step.select(*(grown.alias(c) if c == "template" else c for c in now.columns)))
-    return now.select(*(c for c in now.columns if c not in ("parts", "template")), F.when(F.size("parts") > levels, F.concat("template", F.lit("/**"))).otherwise(F.col("template")).alias("template"))
+    live = checkpoint(pages.withColumn("parts", parts).withColumn("template", F.lit("")))
+    done = [live.where(F.size("parts") == 0)]
+    live, level = live.where(F.size("parts") > 0), 0
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")]
+    key = ["host", "template"]
+    while True:
+        here = live.select(*key, F.get("parts", F.lit(level)).alias("part"), "good", "bad")
+        child = here.groupBy(*key, "part").agg(*sums)
+        node = child.groupBy(*key).agg(*(F.sum(x).alias(f"all_{x}") for x in ("n", "good", "bad"))).where(c("all_n") >= min_pages)
+        child = checkpoint(child.where(c("n") >= min_pages).join(node, key).withColumn("own", _differs(c("good"), c("bad"), c("all_good"), c("all_bad"), chi_square)))
+        if child.isEmpty() and node.isEmpty():
+            break
+        own = child.where("own").withColumn("worse", c("bad") * (c("all_good") + c("all_bad")) > c("all_bad") * (c("good") + c("bad")))
+        pool = own.groupBy(*key, "worse").agg(F.count(F.lit(1)).alias("branches"), F.sum("good").alias("pool_good"), F.sum("bad").alias("pool_bad"))
+        alike = (c("branches") > 1) & ~_differs(c("good"), c("bad"), c("pool_good"), c("pool_bad"), chi_square)
+        named = own.join(pool, [*key, "worse"]).select(*key, "part", F.when(alike, F.when(c("worse"), "+worse").otherwise("+better")).otherwise(c("part")).alias("token"))
+        token = child.where("not own").select(*key, "part", F.lit("+").alias("token")).union(named)
+        step = live.withColumn("part", F.get("parts", F.lit(level))).join(_small(token), [*key, "part"], "left")
+        level += 1
+        grown = F.concat("template", F.lit("/"), F.coalesce("token", F.lit("*")))
+        live = checkpoint(step.select(*(grown.alias(x) if x == "template" else x for x in live.columns)))
+        done.append(live.where(F.size("parts") <= level))
+        live = live.where(F.size("parts") > level)
+        if level % 16 == 0:
+            done = [checkpoint(reduce(DataFrame.union, done))]
+    done.append(live.withColumn("template", F.concat("template", F.lit("/**"))))
+    return reduce(DataFrame.union, done).drop("parts")
 
 
 def _small(df: DataFrame, rows: int = 100_000) -> DataFrame:
@@ -84,7 +111,6 @@ def judge(
     id_col: str = "page_id",
     url_col: str = "url",
     min_pages: int = 3,
-    depth: int = 8,
     chi_square: float = 6.63,
     weight: float = 5.0,
     least: float = 0.5,
@@ -94,7 +120,7 @@ def judge(
     known = labels.where("id is not null and bad is not null").groupBy("id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     base = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).join(known, "id", "left")
     base = base.select("id", "host", "path", F.coalesce(1 - F.col("bad"), F.lit(0)).alias("good"), F.coalesce("bad", F.lit(0)).alias("bad"))
-    grown = templates(base, min_pages, depth, chi_square)
+    grown = checkpoint(templates(base, min_pages, chi_square))
     total = grown.agg(F.sum("good"), F.sum("bad")).first()
     mean = total[0] / (total[0] + total[1]) if total[0] or total[1] else 1.0
     purity = grown.groupBy("host", "template").agg(((F.sum("good") + F.lit(weight * mean)) / (F.sum("good") + F.sum("bad") + F.lit(weight))).alias("purity"))
