@@ -1,8 +1,10 @@
 """Quality by weak supervision, in DataFrame functions only.
 
 Ten rules look at counts of a document and vote good, bad or abstain. How often each
-rule is right where it votes, and the share of good documents, are estimated by expectation-maximisation on the table of vote patterns: at most 3^10 rows,
-whatever the size of the corpus, with the number of documents of each. A document is
+rule is right where it votes, and the share of good documents, are estimated by
+expectation-maximisation on the table of vote patterns, which one aggregation brings to
+the driver: at most 3^10 rows, whatever the size of the corpus, with the number of
+documents of each. A document is
 good if its posterior probability, by its votes and those estimates, is one half or
 more. No labels are read. Counts of the whole text are made once and checkpointed; they
 hold a few numbers a document.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,24 +129,22 @@ def estimate(voted: DataFrame, rounds: int = 40, tolerance: float = 1e-4) -> dic
     that accuracy are added to each, so that no estimate is 0 or 1 and a rule that
     seldom votes keeps to its start.
     """
-    patterns = checkpoint(voted.groupBy(*RULES).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
-    names = {r: F.col(r) for r in RULES}
+    # at most 3 ** len(RULES) rows
+    patterns = voted.groupBy(*RULES).agg(F.count(F.lit(1)).alias("n")).orderBy(*RULES).collect()
     model = {"prior": 0.8, "right": dict.fromkeys(RULES, 0.8)}
+    if not patterns:
+        return model
+    sign = np.array([[0 if p[r] is None else 2 * p[r] - 1 for r in RULES] for p in patterns], dtype=np.float64)
+    n = np.array([p["n"] for p in patterns], dtype=np.float64)
+    cast = n @ np.abs(sign)
     for _ in range(rounds):
-        p = patterns.withColumn("p", _posterior(model, names))
-        sums = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("good")]
-        for r in RULES:
-            sums += [F.sum(F.when(F.col(r).isNotNull(), F.col("n"))).alias(f"n_{r}"), F.sum(F.col("n") * F.when(F.col(r) == 1, F.col("p")).when(F.col(r) == 0, 1 - F.col("p"))).alias(f"right_{r}")]
-        s = p.agg(*sums).first()
-        if not s["n"]:
-            return model
-        new = {
-            "prior": min(0.999, max(0.001, (s["good"] + 1) / (s["n"] + 2))),
-            "right": {r: min(0.999, max(0.501, ((s[f"right_{r}"] or 0.0) + 8) / ((s[f"n_{r}"] or 0) + 10))) for r in RULES},
-        }
-        moved = max(abs(new["right"][r] - model["right"][r]) for r in RULES)
-        model = new
-        if moved < tolerance:
+        right = np.array([model["right"][r] for r in RULES])
+        odds = math.log(model["prior"] / (1 - model["prior"])) + sign @ np.log(right / (1 - right))
+        good = 1 / (1 + np.exp(-odds))
+        agreed = (n * good) @ (sign > 0) + (n * (1 - good)) @ (sign < 0)
+        found = np.clip((agreed + 8) / (cast + 10), 0.501, 0.999)
+        model = {"prior": min(0.999, max(0.001, float((n @ good + 1) / (n.sum() + 2)))), "right": dict(zip(RULES, found.tolist()))}
+        if np.abs(found - right).max() < tolerance:
             break
     return model
 
