@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import checkpoint
 from . import vector
 
 _U = np.uint64
@@ -97,9 +98,20 @@ class Index:
         place = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
         hit = self.keys[place] == h[maybe]
         maybe, place = at[maybe[hit]], place[hit]
+        # pairs whose item has too few seeds in the document are out before occurrences are multiplied
+        least_seeds = np.ceil(least * self.size / self.seed - 1e-9)
+        key = np.unique(row[maybe].astype(np.int64) * len(self.keys) + place)
+        many = self.first[key % len(self.keys) + 1] - self.first[key % len(self.keys)]
+        n_items = len(self.ids)
+        pair, n_seeds = np.unique(np.repeat(key // len(self.keys), many) * n_items + self.item[vector.ragged(np.arange(len(self.item)), self.first[key % len(self.keys)], many)], return_counts=True)
+        pair = pair[n_seeds >= least_seeds[pair % n_items]]
+        some = np.isin(row[maybe], pair // n_items)
+        maybe, place = maybe[some], place[some]
         many = self.first[place + 1] - self.first[place]
         which = vector.ragged(np.arange(len(self.item)), self.first[place], many)
         token = np.repeat(maybe, many)
+        wanted = np.isin(row[token].astype(np.int64) * n_items + self.item[which], pair)
+        token, which = token[wanted], which[wanted]
         owner, item, pos = row[token], self.item[which], self.at[which]
         out = []
         order = np.lexsort((pos, item, owner))
@@ -126,6 +138,8 @@ def decontaminate(
     out = docs.select(*(docs[c] for c in keep), F.lit(None).cast("long").alias(MADE[0]), F.lit(0.0).alias(MADE[1]), F.lit(0).cast("long").alias(MADE[2]))
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).orderBy("item").collect()
+        if k:  # written, so that no more than one index is held
+            out = checkpoint(out)
         out = _scan(out, keep.index(text_col), Index([r[0] for r in part], [r[1] for r in part], min_match), coverage)
     return out
 
