@@ -201,8 +201,8 @@ def similar(pairs: DataFrame, n_words: int = 5, numerator: int = 4, denominator:
     return vector.map_batches(pairs.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, bands: int = 16, rows: int = 4) -> DataFrame:
-    """(id, class_id, is_kept) for each document; similarity is 0.8 or more within links.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, bands: int = 16, rows: int = 4, numerator: int = 4, denominator: int = 5) -> DataFrame:
+    """(id, class_id, is_kept) for each document; similarity is numerator/denominator, 0.8, or more within links.
 
     With 16 bands of 4 a link at 0.8 shares no bucket with probability (1 - 0.8^4)^16,
     about 2 in 10,000, and less above. Shuffles: digests, signatures of distinct texts,
@@ -220,11 +220,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Texts meet their pairs: those of the members first, then those of the centres."""
         first = pairs.join(known.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         both = first.join(known.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        return checkpoint(similar(both, n_words).distinct())
+        return checkpoint(similar(both, n_words, numerator, denominator).distinct())
 
     links = verified(shared.select("a", F.col("node").alias("b")).distinct())
     classes = components(links)
-    more = checkpoint(_across(shared, classes, nodes, known, n_words))
+    more = checkpoint(_across(shared, classes, nodes, known, n_words, numerator, denominator))
     if not more.isEmpty():
         classes = components(links.union(more))
     ids = base.select("id", F.unhex(F.md5("text")).alias("key")).distinct()
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("is_kept"))
 
 
-def _across(shared: DataFrame, classes: DataFrame, nodes: DataFrame, known: DataFrame, n_words: int) -> DataFrame:
+def _across(shared: DataFrame, classes: DataFrame, nodes: DataFrame, known: DataFrame, n_words: int, numerator: int, denominator: int) -> DataFrame:
     """Links (a, b) between different classes of one bucket."""
     members = shared.select("bucket", "node").union(shared.select("bucket", F.col("a").alias("node")).distinct())
     members = members.join(classes, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("own"))
@@ -283,7 +283,7 @@ def _across(shared: DataFrame, classes: DataFrame, nodes: DataFrame, known: Data
             x[place[r[side[r]]], c[side[r]]] = 1
             y[place[r[~side[r]]], c[~side[r]]] = 1
             same += x @ y.T
-        i, j = np.nonzero(5 * same >= 4 * (total[a][:, None] + total[b][None, :] - same))
+        i, j = np.nonzero(denominator * same >= numerator * (total[a][:, None] + total[b][None, :] - same))
         i, j = a[i], b[j]
         i, j = i[own[i] != own[j]], j[own[i] != own[j]]
         pair = np.stack([np.minimum(own[i], own[j]), np.maximum(own[i], own[j])], axis=1)
