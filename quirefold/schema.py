@@ -59,7 +59,7 @@ META = T.StructType(
         T.StructField("indent_level", T.IntegerType()),
         T.StructField("semantic_level", T.IntegerType()),
         T.StructField("continued_pages", T.ArrayType(T.IntegerType())),
-        T.StructField("noise_removed", T.IntegerType()),
+        T.StructField("continuation_noise_removed", T.IntegerType()),
         T.StructField("merged_block_ids", T.ArrayType(T.StringType())),
         T.StructField("merged_heading_label", T.BooleanType()),
         T.StructField("promoted_from_paragraph", T.BooleanType()),
