@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,9 +36,25 @@ def compact(c: Column) -> Column:
     return F.regexp_replace(c, f"{WS}+", "")
 
 
+def _table(entries: dict[str, str]) -> Column:
+    """A constant map."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in entries.items())), F.lit("\x02"), F.lit("\x01"))
+
+
+#: Characters whose case folding is not their lower case, with it; by the tables of Unicode.
+FOLDED = {c: f for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if (f := c.casefold()) != c.lower()}
+
+
 def fold(c: Column) -> Column:
-    """Case folding: lower case, with sharp and long s as s."""
-    return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ſ"), F.lit("s"))
+    """Case folding: lower case, but for the characters of FOLDED; only texts that hold one are gone through."""
+    special = "[" + "".join(sorted({x.lower() for x in FOLDED if len(x.lower()) == 1} | {"ς"})) + "]"
+    table = _table({x.lower(): f for x, f in FOLDED.items() if len(x.lower()) == 1})
+
+    def folded(low: Column) -> Column:
+        each = F.transform(F.split(low, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
+        return F.when(low.rlike(special), F.array_join(each, "")).otherwise(low)
+
+    return let(F.lower(c), folded)
 
 
 def normal(c: Column) -> Column:
@@ -69,13 +87,45 @@ def single_line(c: Column) -> Column:
     return F.trim(F.regexp_replace(squeeze(c), "^#+", ""))
 
 
+# Entities that most texts make do with.
+COMMON_ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("middot", "·"), ("copy", "©"), ("nbsp", "\u00a0"), ("amp", "&"))
+#: Names that also resolve without a semicolon, longest first.
+_LOOSE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+
 def html_visible(c: Column) -> Column:
-    """Visible text of HTML: tags become spaces, blanks squeeze, the common entities resolve, ampersand last."""
-    out = F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), f"{WS}+", " "))
-    # Entities that are resolved.
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("middot", "·"), ("copy", "©"), ("nbsp", "\u00a0"), ("amp", "&")):
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return out
+    """Visible text of HTML: tags become spaces, blanks squeeze, entities resolve once, ampersand last.
+
+    Texts with other than the common entities are resolved piece by piece, by the names of HTML 5.
+    """
+
+    def resolved(t: Column) -> Column:
+        common = t
+        for name, char in COMMON_ENTITIES:
+            common = F.replace(common, F.lit(f"&{name};"), F.lit(char))
+        rare = t.rlike(f"&(?!(?:{'|'.join(n for n, _ in COMMON_ENTITIES)});)[#A-Za-z]")
+        pieces = F.regexp_extract_all(t, F.lit(f"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z0-9]+;|&(?:{_LOOSE})|[^&]+|&"), F.lit(0))
+        return F.when(rare, F.array_join(F.transform(pieces, _entity), "")).otherwise(common)
+
+    return let(F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), f"{WS}+", " ")), resolved)
+
+
+def _entity(piece: Column) -> Column:
+    """The characters of a reference; any other piece as it is."""
+    names = _table(html5)
+    name = F.substr(piece, F.lit(2))
+    loose = F.regexp_extract(name, f"^(?:{_LOOSE})", 0)
+    number = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(piece, "^&#0*([0-9]{1,9});?$", 1), F.lit("")), F.lit("999999999")).cast("long"), F.conv(F.nullif(F.regexp_extract(piece, "^&#[xX]0*([0-9a-fA-F]{1,8});?$", 1), F.lit("")), 16, 10).cast("long"))
+    # numbers of the C1 block stand for the characters of code page 1252
+    old = _table({str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)})
+    bad = (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    none = number.between(1, 8) | number.isin(0xB, 0x7F) | number.between(0xE, 0x1F) | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    point = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    zero = piece.rlike("^&#(?:0+|[xX]0+);?$")
+    is_number = piece.rlike("^&#(?:[0-9]+|[xX][0-9a-fA-F]+);?$")
+    numeric = F.when(zero | number.isNull() | bad, "\ufffd").when(F.try_element_at(old, number.cast("string")).isNotNull(), F.try_element_at(old, number.cast("string"))).when(none, "").otherwise(point)
+    named = F.coalesce(F.try_element_at(names, name), F.when(loose != "", F.concat(F.try_element_at(names, loose), F.substr(name, F.length(loose) + 1))), piece)
+    return F.when(~F.startswith(piece, F.lit("&")) | (piece == "&"), piece).when(is_number, numeric).otherwise(named)
 
 
 def join_wrapped(lines: Column) -> Column:

@@ -89,6 +89,9 @@ def inserted(requests: DataFrame) -> DataFrame:
     """New job rows of requests (id, filename, options_json, created_at), without passwords."""
     options = F.regexp_replace("options_json", r'"password"\s*:\s*(?:"(?:[^"\\]|\\.)*"|null)\s*,?\s*', "")
     options = F.regexp_replace(options, r",\s*}", "}")
+    # a password that is neither text nor null: the options are read and written without it
+    others = F.to_json(F.map_filter(F.from_json("options_json", "map<string,variant>"), lambda k, _: k != "password"))
+    options = F.when(F.contains(options, F.lit("password")), F.coalesce(others, F.lit("{}"))).otherwise(options)
     return requests.select(
         "id", F.lit("queued").alias("status"), "filename", F.lit(0).alias("progress"), F.lit("queued").alias("stage"), "created_at", F.col("created_at").alias("updated_at"), F.lit(None).cast("string").alias("error"),
         F.lit(None).cast("string").alias("output_dir"), F.lit(None).cast("double").alias("quality_score"), options.alias("options_json"),

@@ -9,7 +9,6 @@ whether HTML entities remain, and only on the rows that ask them.
 from __future__ import annotations
 
 import ast
-import html
 import json
 import re
 from dataclasses import dataclass
@@ -461,9 +460,3 @@ def confidence_metrics(confidence: DataFrame) -> DataFrame:
     """(doc_id, name, mean, low) of numeric engine confidences by page: rows (doc_id, page, values map<string,double>)."""
     each = confidence.select("doc_id", F.explode("values").alias("name", "value")).where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
     return each.groupBy("doc_id", "name").agg(F.round(F.avg("value"), 4).alias("mean"), F.round(F.min("value"), 4).alias("low"))
-
-
-@F.pandas_udf(T.StringType())
-def unescape(body: pd.Series) -> pd.Series:
-    """All HTML entities, for texts beyond the common ones that html_visible resolves."""
-    return body.map(lambda t: None if t is None else html.unescape(t))

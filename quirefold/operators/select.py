@@ -1,7 +1,7 @@
 """The better of two engines' pages.
 
 Each page of the fallback is tried alone in the primary document: candidate documents are
-keyed (doc_id, page tried) and scored together in one pass, since a page's score depends
+numbered, one for each page tried, and scored together in one pass, since a page's score depends
 on the rest of its document (flat headings, code over page breaks). The rows of a document
 are expanded once for each page tried, never for documents without a fallback.
 """
@@ -26,15 +26,14 @@ def better_pages(inspections: DataFrame, primary: DataFrame, fallback: DataFrame
         primary_pages = quality.evaluate(inspections, primary, minimum=minimum, engine=primary_engine, with_code=with_code).pages
     own = primary_pages.select(*key, F.col("score").alias("primary_score"))
     tried = fallback.select(*key).distinct()
-    many = tried.select("doc_id", F.col("page").alias("tried"))
-    key_of = F.xxhash64("doc_id", "tried")
+    # one document, with an id of its own, for each page tried; written, so that the ids stay
+    many = checkpoint(tried.select("doc_id", F.col("page").alias("tried")).withColumn("trial", F.monotonically_increasing_id()))
     columns = [c for c in S.BLOCKS.names if c != "doc_id"]
-    kept = segment.as_blocks(primary).join(many, "doc_id").where("page <> tried").select(key_of.alias("doc_id"), *columns)
-    new = segment.as_blocks(fallback).withColumn("tried", F.col("page")).select(key_of.alias("doc_id"), *columns)
-    pages = inspections.join(many, "doc_id").select(key_of.alias("doc_id"), "page", "native_text_chars", "is_blank")
+    kept = segment.as_blocks(primary).join(many, "doc_id").where("page <> tried").select(F.col("trial").alias("doc_id"), *columns)
+    new = segment.as_blocks(fallback).withColumn("tried", F.col("page")).join(many, ["doc_id", "tried"]).select(F.col("trial").alias("doc_id"), *columns)
+    pages = inspections.join(many, "doc_id").select(F.col("trial").alias("doc_id"), "page", "native_text_chars", "is_blank")
     scored = quality.evaluate(pages, kept.unionByName(new), minimum=minimum, engine=fallback_engine, with_code=with_code).pages
-    names = many.select(F.xxhash64("doc_id", "tried").alias("_key"), F.col("doc_id").alias("_doc"), "tried")
-    theirs = scored.withColumnRenamed("doc_id", "_key").join(names, "_key").where("page = tried").select(F.col("_doc").alias("doc_id"), "page", F.col("score").alias("fallback_score"))
+    theirs = scored.withColumnRenamed("doc_id", "trial").join(many, "trial").where("page = tried").select("doc_id", "page", F.col("score").alias("fallback_score"))
     out = theirs.join(own, key, "left").select(*key, F.coalesce("primary_score", F.lit(0.0)).alias("primary_score"), "fallback_score")
     return checkpoint(out.withColumn("applied", F.col("fallback_score") > F.col("primary_score")))
 

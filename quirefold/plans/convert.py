@@ -41,19 +41,29 @@ def is_transient(error: Exception) -> bool:
 
 
 def parse(name: str, pages: DataFrame) -> tuple[DataFrame, str, str | None]:
-    """(blocks, engine used, issue): an absent or failing engine gives way to the native one, a transient failure is tried again."""
+    """(blocks, engine used, issue): an absent or failing engine gives way to the native one, a transient failure is tried again.
+
+    An engine's blocks are computed here, since most engines fail when their plan runs and not when it is made.
+    """
+    native = engines.engine("native")
     engine = engines.engine(name)
     if not engine.available():
-        return engines.engine("native").parse(pages), "native", "primary_engine_unavailable"
-    for attempt in (0, 1):
-        try:
-            return engine.parse(pages), name, None
-        except Exception as e:
-            if name == "native":
-                raise
-            if attempt or not is_transient(e):
-                break
-    return engines.engine("native").parse(pages), "native", "primary_engine_failed"
+        return native.parse(pages), native.name, "primary_engine_unavailable"
+    if name == native.name:
+        return native.parse(pages), name, None
+    try:
+        return _computed(engine, pages), name, None
+    except Exception as first:
+        if is_transient(first):
+            try:
+                return _computed(engine, pages), name, None
+            except Exception:
+                pass
+    return native.parse(pages), native.name, "primary_engine_failed"
+
+
+def _computed(engine: engines.Engine, pages: DataFrame) -> DataFrame:
+    return checkpoint(engine.parse(pages))
 
 
 def convert(documents: DataFrame, pages: DataFrame, inspections: DataFrame, options: Options | None = None) -> Result:
@@ -82,7 +92,7 @@ def convert(documents: DataFrame, pages: DataFrame, inspections: DataFrame, opti
     elif o.quality_fallback and o.fallback_engine != "native" and (fallback is None or not fallback.available()):
         notices.append(("fallback_engine_unavailable", "warning", weak))
     for code, severity, only in notices:
-        report = with_notice(report, code, severity, only, degraded=code == issue)
+        report = with_notice(report, code, severity, only, degraded=code == issue, last=code.startswith("fallback_") and severity == "warning")
     markdown = render.document(blocks, documents, o.front_matter, o.page_markers, pages=pages)
     assets = blocks.where("asset_path is not null").select("doc_id", F.col("asset_path").alias("path"))
     return Result(blocks, report, markdown, sinks.manifest(documents, report.documents.drop("page_count"), assets), chosen)
@@ -97,13 +107,13 @@ def with_fallback(report: quality.Report, tried: DataFrame, chosen: DataFrame, e
     return quality.Report(report.pages, report.issues, out.withColumn("fallback_engine", F.when(F.size("attempted_pages") > 0, engine)))
 
 
-def with_notice(report: quality.Report, code: str, severity: str, only: DataFrame | None = None, degraded: bool = False) -> quality.Report:
-    """The report with a notice, before its other issues, on every document or those of `only`; counts are made anew.
+def with_notice(report: quality.Report, code: str, severity: str, only: DataFrame | None = None, degraded: bool = False, last: bool = False) -> quality.Report:
+    """The report with a notice, before its other issues or after them, on every document or those of `only`; counts are made anew.
 
     A degraded conversion has not passed.
     """
     docs = report.documents.select("doc_id") if only is None else only.select("doc_id").distinct()
-    row = docs.select("doc_id", F.lit(-1).cast("long").alias("ord"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("block_id"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(code.replace("_", " ")).alias("message"))
+    row = docs.select("doc_id", F.lit(2**62 if last else -1).cast("long").alias("ord"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("block_id"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(code.replace("_", " ")).alias("message"))
     marked = report.documents.join(docs.withColumn("_noted", F.lit(1)), "doc_id", "left").withColumn("_noted", F.coalesce("_noted", F.lit(0)))
     made = {c: F.col(c) + F.col("_noted") for c in ("issue_count", f"{severity}_count")} | ({"passed": F.lit(False)} if degraded else {})
     return quality.Report(report.pages, row.unionByName(report.issues), marked.withColumns(made).drop("_noted"))

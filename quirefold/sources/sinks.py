@@ -74,7 +74,7 @@ def zip_results(spark: SparkSession, path: str, ids: list[int], target: str, max
         for n, doc_id in enumerate(ids, start=1):
             for name in ROOT_FILES:
                 rows = spark.read.option("basePath", f"{path}/{name}").json(f"{path}/{name}").where(F.col("part") == doc_id).drop("part")
-                size = rows.select(F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
+                size = rows.select(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
                 total += size
                 if total > max_bytes:
                     raise ValueError(f"more than {max_bytes} bytes")

@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame
 def checkpoint(df: DataFrame) -> DataFrame:
     """`df`, computed and written to the folder that spark.checkpoint.dir names.
 
-    Only a session without that setting (a test on one machine) gets a folder of its own.
+    Only a session on one machine (a test) may do without that setting and gets a folder of its own.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
