@@ -57,12 +57,14 @@ def test_engines_that_fail_when_their_plan_runs(spark):
         assert asked == ["no such thing"] and report.documents.first().primary_engine == "native" and not report.documents.first().passed
         assert report.issues.orderBy("ord").first().code == "primary_engine_failed"
         asked.clear()
-        report = convert.convert(docs, pages, look, convert.Options(fallback_engine="late")).report
+        engines.register(engines.Simulated("thin", lambda p: segment.blocks(p.where("page > 1"), engine="thin")))
+        report = convert.convert(docs, pages, look, convert.Options(primary_engine="thin", fallback_engine="late")).report
         assert [r.code for r in report.issues.orderBy("ord").collect()][-1] == "fallback_failed"
-        report = convert.convert(docs, pages, look, convert.Options(fallback_engine="absent")).report
+        report = convert.convert(docs, pages, look, convert.Options(primary_engine="thin", fallback_engine="absent")).report
         assert [r.code for r in report.issues.orderBy("ord").collect()][-1] == "fallback_engine_unavailable"
     finally:
-        engines.ENGINES.pop("late")
+        for name in ("late", "thin"):
+            engines.ENGINES.pop(name, None)
 
 
 def test_no_password_stays_in_options(spark):
