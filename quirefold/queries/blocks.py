@@ -140,38 +140,38 @@ def code_confidence(spark, d):
     return pages.select("doc_id", "page", F.round(code.confidence(F.col("lines")), 6).alias("confidence"))
 
 
-# tables: each document's first lines as rows of a pipe table
-GFM = """, cells AS (SELECT doc_id, pos, list_transform(string_split(left(regexp_replace(line, '[|\\\\]', '', 'g'), 40), ' '), lambda c: trim(c)) AS words FROM lines WHERE pos < 4),
-rows AS (SELECT doc_id, pos, CASE WHEN pos = 1 AND doc_id % 3 <> 0 THEN '|---|---|---|' ELSE '| ' || coalesce(words[1], '') || ' | x' || CASE WHEN doc_id % 7 = 0 THEN '\\|y' ELSE '' END || ' | ' || CAST(pos AS VARCHAR) || ' |' || CASE WHEN doc_id % 11 = 0 AND pos = 2 THEN ' z |' ELSE '' END END AS row FROM cells)"""
-SHAPE = GFM + """, shapes AS (SELECT doc_id, count(*) - CAST(max(CAST(pos = 1 AND doc_id % 3 <> 0 AS INTEGER)) AS BIGINT) AS n_rows, string_agg(CASE WHEN doc_id % 11 = 0 AND pos = 2 THEN '4' ELSE '3' END, ',' ORDER BY pos) AS columns, max(CASE WHEN pos = 1 AND doc_id % 3 <> 0 THEN 1 END) AS separator FROM rows GROUP BY doc_id)"""
+# tables: every page's lines as rows of a pipe table, each line whole in a cell
+GFM = """, cells AS (SELECT doc_id, page, seq, trim(regexp_replace(line, '[|\\\\\\s]+', ' ', 'g')) AS cell FROM lines),
+rows AS (SELECT doc_id, page, seq, CASE WHEN seq = 1 AND doc_id % 3 <> 0 THEN '|---|---|---|' ELSE '| ' || cell || ' | x' || CASE WHEN doc_id % 7 = 0 THEN '\\|y' ELSE '' END || ' | ' || CAST(seq AS VARCHAR) || ' |' || CASE WHEN doc_id % 11 = 0 AND seq = 2 THEN ' z |' ELSE '' END END AS row FROM cells)"""
+SHAPE = GFM + """, shapes AS (SELECT doc_id, page, count(*) - CAST(max(CAST(seq = 1 AND doc_id % 3 <> 0 AS INTEGER)) AS BIGINT) AS n_rows, string_agg(CASE WHEN doc_id % 11 = 0 AND seq = 2 THEN '4' ELSE '3' END, ',' ORDER BY seq) AS columns, max(CASE WHEN seq = 1 AND doc_id % 3 <> 0 THEN 1 END) AS separator FROM rows GROUP BY doc_id, page)"""
 
 
 def gfm(spark, d):
-    """A small pipe table for each document, from the first words of its first four lines."""
-    word = F.trim(F.get(F.split(F.left(F.regexp_replace("line", r"[|\\]", ""), F.lit(40)), " "), F.lit(0)))
-    mark = (F.col("pos") == 1) & (F.col("doc_id") % 3 != 0)
-    row = F.concat(F.lit("| "), word, F.lit(" | x"), F.when(F.col("doc_id") % 7 == 0, "\\|y").otherwise(""), F.lit(" | "), F.col("pos").cast("string"), F.lit(" |"), F.when((F.col("doc_id") % 11 == 0) & (F.col("pos") == 2), " z |").otherwise(""))
-    rows = H.lines(spark, d).where("pos < 4").select("doc_id", "pos", F.when(mark, "|---|---|---|").otherwise(row).alias("row"))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "row"))), lambda s: s["row"]), "\n").alias("markdown"))
+    """A pipe table for each page: a line, two further cells and, now and then, one too many."""
+    cell = F.trim(F.regexp_replace("line", r"[|\\\s]+", " "))
+    mark = (F.col("seq") == 1) & (F.col("doc_id") % 3 != 0)
+    row = F.concat(F.lit("| "), cell, F.lit(" | x"), F.when(F.col("doc_id") % 7 == 0, "\\|y").otherwise(""), F.lit(" | "), F.col("seq").cast("string"), F.lit(" |"), F.when((F.col("doc_id") % 11 == 0) & (F.col("seq") == 2), " z |").otherwise(""))
+    rows = H.lines(spark, d).select("doc_id", "page", "seq", F.when(mark, "|---|---|---|").otherwise(row).alias("row"))
+    return rows.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "row"))), lambda s: s["row"]), "\n").alias("markdown"))
 
 
-@query("gfm_shape", H.sql(H.LINES, SHAPE + " SELECT doc_id, CAST(n_rows AS BIGINT) AS n_rows, columns, CAST(separator AS BIGINT) AS separator FROM shapes").replace("\n, cells", ", cells"))
+@query("gfm_shape", H.sql(H.LINES, SHAPE + " SELECT doc_id, page, CAST(n_rows AS BIGINT) AS n_rows, columns, CAST(separator AS BIGINT) AS separator FROM shapes").replace("\n, cells", ", cells"))
 def gfm_shape(spark, d):
     found = gfm(spark, d).withColumn("s", tables.shape(F.col("markdown")))
-    return found.select("doc_id", long(F.col("s.rows")).alias("n_rows"), F.array_join(F.transform("s.columns", lambda x: x.cast("string")), ",").alias("columns"), long(F.col("s.separator_index")).alias("separator"))
+    return found.select("doc_id", "page", long(F.col("s.rows")).alias("n_rows"), F.array_join(F.transform("s.columns", lambda x: x.cast("string")), ",").alias("columns"), long(F.col("s.separator_index")).alias("separator"))
 
 
-@query("gfm_validity", H.sql(H.LINES, SHAPE + " SELECT doc_id, coalesce(separator = 1, false) AND n_rows >= 1 AND columns NOT LIKE '%4%' AS valid, coalesce(separator = 1, false) AND n_rows = 3 AND columns NOT LIKE '%4%' AS three_rows FROM shapes").replace("\n, cells", ", cells"))
+@query("gfm_validity", H.sql(H.LINES, SHAPE + " SELECT doc_id, page, coalesce(separator = 1, false) AND n_rows >= 1 AND columns NOT LIKE '%4%' AS valid, coalesce(separator = 1, false) AND n_rows = 3 AND columns NOT LIKE '%4%' AS three_rows FROM shapes").replace("\n, cells", ", cells"))
 def gfm_validity(spark, d):
     shape = tables.shape(F.col("markdown"))
-    return gfm(spark, d).select("doc_id", tables.is_valid(shape).alias("valid"), tables.is_valid(shape, F.lit(3), F.lit(3)).alias("three_rows"))
+    return gfm(spark, d).select("doc_id", "page", tables.is_valid(shape).alias("valid"), tables.is_valid(shape, F.lit(3), F.lit(3)).alias("three_rows"))
 
 
-@query("gfm_render", H.sql(H.LINES, GFM + " SELECT doc_id, string_agg(CASE WHEN row LIKE '|---%' THEN '| --- | --- | --- |' WHEN row LIKE '|  |%' THEN '| ' || row[5:] ELSE row END, chr(10) ORDER BY pos) AS markdown FROM rows WHERE row NOT LIKE '|  |%' GROUP BY doc_id").replace("\n, cells", ", cells"))
+@query("gfm_render", H.sql(H.LINES, GFM + " SELECT doc_id, page, string_agg(CASE WHEN row LIKE '|---%' THEN '| --- | --- | --- |' ELSE row END, chr(10) ORDER BY seq) AS markdown FROM rows GROUP BY doc_id, page").replace("\n, cells", ", cells"))
 def gfm_render(spark, d):
-    """Parsed and rendered again; documents with an empty first cell have none, since edge cells that are empty go."""
-    found = gfm(spark, d).select("doc_id", tables.rows(F.col("markdown")).alias("rows"))
-    return found.select("doc_id", tables.render(F.col("rows")).alias("markdown"))
+    """Parsed and rendered again."""
+    found = gfm(spark, d).select("doc_id", "page", tables.rows(F.col("markdown")).alias("rows"))
+    return found.select("doc_id", "page", tables.render(F.col("rows")).alias("markdown"))
 
 
 @query(

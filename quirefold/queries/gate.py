@@ -232,14 +232,14 @@ def line_to_page(spark, d):
 def fenced_blocks(own):
     """Decorated lines in fences of raw Markdown; every seventh document's are left open."""
     lang = F.when(F.col("doc_id") % 3 == 0, "python").when(F.col("doc_id") % 3 == 1, "json").otherwise("")
-    body = F.when(F.col("doc_id") % 3 == 1, F.to_json(F.struct(F.col("pos").alias("n"), F.left("line", F.lit(20)).alias("t")))).otherwise(F.col("text"))
+    body = F.when(F.col("doc_id") % 3 == 1, F.to_json(F.struct(F.col("pos").alias("n"), F.col("line").alias("t")))).otherwise(F.col("text"))
     raw = F.concat(F.lit("````"), lang, F.lit("\n"), body, F.when(F.col("doc_id") % 7 == 0, "").otherwise("\n````"))
     return segment.as_blocks(own.select("doc_id", "page", "seq", F.format_string("p%d-%d", "page", "seq").alias("block_id"), F.lit("raw_markdown").alias("type"), raw.alias("text")))
 
 
-@query("fence_scan", H.sql(H.DECORATED, "SELECT doc_id, page, seq, CASE doc_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'json' ELSE '' END AS language, doc_id % 7 = 0 AS unclosed FROM decorated WHERE k % 17 = 0"))
+@query("fence_scan", H.sql(H.DECORATED, "SELECT doc_id, page, seq, CASE doc_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'json' ELSE '' END AS language, doc_id % 7 = 0 AS unclosed FROM decorated"))
 def fence_scan(spark, d):
-    return quality.fenced(fenced_blocks(H.decorated(spark, d).where((F.col("doc_id") + F.col("pos")) % 17 == 0))).select("doc_id", "page", "seq", "language", "unclosed")
+    return quality.fenced(fenced_blocks(H.decorated(spark, d))).select("doc_id", "page", "seq", "language", "unclosed")
 
 
 @query("code_findings")
@@ -257,9 +257,9 @@ def python_syntax(spark, d):
     return quality.code_findings(H.blocks(spark, d)).where("language = 'python'").select("doc_id", "grp", "page", "code", "line")
 
 
-@query("json_syntax", H.sql(H.DECORATED, "SELECT doc_id, page, CASE WHEN (doc_id + pos) % 2 = 0 THEN 'json_syntax_error' END AS code FROM decorated WHERE k % 17 = 0"))
+@query("json_syntax", H.sql(H.DECORATED, "SELECT doc_id, page, CASE WHEN (doc_id + pos) % 2 = 0 THEN 'json_syntax_error' END AS code FROM decorated"))
 def json_syntax(spark, d):
-    own = H.decorated(spark, d).where((F.col("doc_id") + F.col("pos")) % 17 == 0)
+    own = H.decorated(spark, d)
     good = F.to_json(F.struct(F.lit(1).alias("a"), F.lit("x").alias("b")))
     body = F.when((F.col("doc_id") + F.col("pos")) % 2 == 0, F.concat(good, F.lit(","))).otherwise(good)
     meta = F.struct(*((F.lit("json") if f.name == "language" else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.META))
@@ -267,10 +267,10 @@ def json_syntax(spark, d):
     return quality.code_findings(made).select("doc_id", "page", "code")
 
 
-@query("collapsed_code", H.sql(H.DECORATED, "SELECT doc_id, page, count(*) AS n_collapsed FROM decorated WHERE k % 17 = 0 AND pos % 2 = 0 GROUP BY doc_id, page"))
+@query("collapsed_code", H.sql(H.DECORATED, "SELECT doc_id, page, count(*) AS n_collapsed FROM decorated WHERE pos % 2 = 0 GROUP BY doc_id, page"))
 def collapsed_code(spark, d):
-    """Half of the code lines lose the newlines of a small program; the rest keep them."""
-    own = H.decorated(spark, d).where((F.col("doc_id") + F.col("pos")) % 17 == 0)
+    """A small program for every line; half of them lose their newlines, the rest keep them."""
+    own = H.decorated(spark, d)
     program = "import os\nfrom sys import path\ndef main(x):\n    return [y for y in x if y]\nvalue = main(path)\nprint(value)"
     body = F.when(F.col("pos") % 2 == 0, F.lit(program.replace("\n", " "))).otherwise(F.lit(program))
     made = segment.as_blocks(own.select("doc_id", "page", "seq", F.lit("code").alias("type"), body.alias("text")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schema as S
 from ..operators import client, jobs
 from ..sources import sinks
 from . import harness as H
@@ -147,12 +148,13 @@ def selected_intersection(spark, d):
     return client.selected_downloads(own.where("id % 5 < 3"), own.where("status = 'completed'"))
 
 
-@query("batch_archive", f"WITH {LATEST}, a AS (SELECT id, row_number() OVER (ORDER BY id) AS nth FROM latest WHERE status = 'completed' ORDER BY id LIMIT 8) SELECT nth, 'results/' || lpad(CAST(nth AS VARCHAR), 2, '0') || '-' || left(md5(CAST(id AS VARCHAR)), 8) AS folder, CAST(NULL AS VARCHAR) AS refused FROM a")
+@query("batch_archive", f"WITH {LATEST}, a AS (SELECT id, id // 20 AS batch, row_number() OVER (PARTITION BY id // 20 ORDER BY id) AS nth FROM latest WHERE status = 'completed') SELECT batch, nth, 'results/' || lpad(CAST(nth AS VARCHAR), 2, '0') || '-' || left(md5(CAST(id AS VARCHAR)), 8) AS folder, CAST(NULL AS VARCHAR) AS refused FROM a")
 def batch_archive(spark, d):
-    done = latest(spark, d).where("status = 'completed'").orderBy("id").limit(8)
-    asked = done.select(F.col("id").alias("nth"), F.md5(F.col("id").cast("string")).alias("id"))
+    """Every completed job; a request holds the completed ones of twenty ids in a row, the limit of a batch."""
+    done = latest(spark, d).where("status = 'completed'")
+    asked = done.select(F.expr(f"id div {S.MAX_BATCH_FILES}").alias("batch"), F.col("id").alias("nth"), F.md5(F.col("id").cast("string")).alias("id"))
     known = done.select(F.md5(F.col("id").cast("string")).alias("id"), "status")
     sizes = known.select("id", F.lit(1000).alias("size"))
-    why = sinks.archive_problem(asked, known, sizes).select(F.col("reason").alias("refused"))
-    folders = sinks.archive_folders(asked).select(F.regexp_extract("folder", r"/(\d+)-", 1).cast("long").alias("nth"), "folder")
-    return folders.join(F.broadcast(why)).select("nth", "folder", "refused")
+    why = sinks.archive_problem(asked, known, sizes, by=("batch",)).select("batch", F.col("reason").alias("refused"))
+    folders = sinks.archive_folders(asked, by=("batch",)).select("batch", F.regexp_extract("folder", r"/(\d+)-", 1).cast("long").alias("nth"), "folder")
+    return folders.join(why, "batch").select("batch", "nth", "folder", "refused")

@@ -45,22 +45,22 @@ def write(path: str, markdown: DataFrame, blocks: DataFrame, reports: DataFrame,
         )
 
 
-def archive_problem(asked: DataFrame, jobs: DataFrame, sizes: DataFrame, max_files: int = S.MAX_BATCH_FILES, max_bytes: int = S.MAX_ARCHIVE_BYTES) -> DataFrame:
-    """One row: why a batch archive of job ids (nth, id) is refused, or null."""
+def archive_problem(asked: DataFrame, jobs: DataFrame, sizes: DataFrame, max_files: int = S.MAX_BATCH_FILES, max_bytes: int = S.MAX_ARCHIVE_BYTES, by: tuple[str, ...] = ()) -> DataFrame:
+    """Why a batch archive of job ids (nth, id) is refused, or null: one row, or one for each request that columns `by` name."""
     whole = asked.join(jobs.select("id", "status"), "id", "left").join(sizes.groupBy("id").agg(F.sum("size").alias("size")), "id", "left")
-    n = whole.agg(
+    n = whole.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("distinct"), F.count_if(~F.col("id").rlike("^[0-9a-f]{32}$")).alias("bad"), F.count_if(F.coalesce("status", F.lit("")) != "completed").alias("open"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")
     )
     why = (
         F.when(F.col("n") == 0, "empty").when(F.col("n") > max_files, "too_many").when(F.col("distinct") < F.col("n"), "duplicates").when(F.col("bad") > 0, "bad_id").when(F.col("open") > 0, "not_completed").when(F.col("bytes") > max_bytes, "too_large")
     )
-    return n.select(why.alias("reason"))
+    return n.select(*by, why.alias("reason"))
 
 
-def archive_folders(asked: DataFrame) -> DataFrame:
-    """(nth, id, folder): results/NN-first eight characters; a batch is small, so one task numbers it."""
-    order = Window.orderBy("nth")
-    return asked.select("nth", "id", F.format_string("results/%02d-%s", F.row_number().over(order), F.left("id", F.lit(8))).alias("folder"))
+def archive_folders(asked: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, nth, id, folder): results/NN-first eight characters, numbered in each request, which is small."""
+    order = Window.partitionBy(*by).orderBy("nth")
+    return asked.select(*by, "nth", "id", F.format_string("results/%02d-%s", F.row_number().over(order), F.left("id", F.lit(8))).alias("folder"))
 
 
 def zip_results(spark: SparkSession, path: str, ids: list[int], target: str, max_files: int = S.MAX_BATCH_FILES, max_bytes: int = S.MAX_ARCHIVE_BYTES) -> None:
