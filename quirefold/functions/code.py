@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fold, strip
+from .text import fold, let, strip
 
 U = "(?U)"
 # Names that stand for another language.
@@ -49,7 +49,10 @@ def language_name(c: Column) -> Column:
 
 def infer_language(text: Column) -> Column:
     """The first language whose signals are strong enough; empty if none."""
-    low = fold(text)
+    return let(fold(text), lambda low: _inferred(text, low))
+
+
+def _inferred(text: Column, low: Column) -> Column:
     signals = [(low if not k else text).rlike(_rx(p)) for k, p in enumerate(PYTHON_SIGNALS)]
     strength = sum((s.cast("int") for s in signals[1:]), signals[0].cast("int"))
     head = F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+", "")

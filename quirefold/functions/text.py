@@ -45,16 +45,25 @@ def _table(entries: dict[str, str]) -> Column:
 FOLDED = {c: f for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if (f := c.casefold()) != c.lower()}
 
 
-def fold(c: Column) -> Column:
-    """Case folding: lower case, but for the characters of FOLDED; only texts that hold one are gone through."""
-    special = "[" + "".join(sorted({x.lower() for x in FOLDED if len(x.lower()) == 1} | {"ς"})) + "]"
-    table = _table({x.lower(): f for x, f in FOLDED.items() if len(x.lower()) == 1})
+def _ranges(chars: set[str]) -> str:
+    """The inside of a character class, as ranges: Java tries the members of a class one after the other."""
+    points, ranges = sorted(map(ord, chars)), []
+    for p in points:
+        if ranges and ranges[-1][1] == p - 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
 
-    def folded(low: Column) -> Column:
-        each = F.transform(F.split(low, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
-        return F.when(low.rlike(special), F.array_join(each, "")).otherwise(low)
 
-    return let(F.lower(c), folded)
+def fold(c: Column) -> Column:
+    """Case folding: lower case, but for the characters of FOLDED; only texts that hold one are gone through."""
+    table = {x.lower(): f for x, f in FOLDED.items() if len(x.lower()) == 1}
+    rare = _ranges({*table, "ς"})
+    low = F.lower(c)
+    pieces = F.regexp_extract_all(low, F.lit(f"[^{rare}]+|[{rare}]"), F.lit(0))
+    folded = F.array_join(F.transform(pieces, lambda x: F.when(F.length(x) == 1, F.coalesce(F.try_element_at(_table(table), x), x)).otherwise(x)), "")
+    return F.when(c.rlike("[^\\x00-\\x7f]") & low.rlike(f"[{rare}]"), folded).otherwise(low)
 
 
 def normal(c: Column) -> Column:
