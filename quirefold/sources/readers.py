@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from . import inspect
+from . import inspect, sinks
 
 REPORT = T.StructType(
     [
@@ -36,5 +36,6 @@ def reports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def result(spark: SparkSession, path: str, name: str, doc_id: int) -> DataFrame:
-    """One document's rows of an artifact; only its partition is read."""
-    return spark.read.option("basePath", f"{path}/{name}").json(f"{path}/{name}").where(F.col("part") == doc_id).drop("part")
+    """One document's rows of an artifact; only its bucket is read."""
+    own = (F.col("part") == sinks.bucket(F.lit(doc_id))) & (F.col("doc_id") == doc_id)
+    return spark.read.option("basePath", f"{path}/{name}").json(f"{path}/{name}").where(own).drop("part")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..storage import checkpoint
 
 # Files that every result has.
 ROOT_FILES = ["document.json", "document.md", "manifest.json", "quality-report.json"]
@@ -33,16 +34,44 @@ def manifest(documents: DataFrame, reports: DataFrame, assets: DataFrame) -> Dat
     )
 
 
+#: Folders of an artifact's dataset; the same number for all writes to a path.
+BUCKETS = 1024
+
+
+def bucket(doc_id: Column) -> Column:
+    """The folder of a document."""
+    return F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(BUCKETS)).cast("int")
+
+
 def write(path: str, markdown: DataFrame, blocks: DataFrame, reports: DataFrame, manifests: DataFrame) -> None:
-    """The four artifacts, each a dataset partitioned by document; only the partitions of these documents are replaced.
+    """The four artifacts, each a dataset of JSON lines in buckets of documents; earlier rows of these documents go.
 
-    Spark's commit makes each dataset appear whole or not at all.
+    Only the buckets of these documents are written again, their other documents' lines as they are.
+    Those lines lie in the checkpoint folder before a bucket is replaced. Files are balanced by their
+    size, so a large bucket is written by several tasks. A dataset's commit is one job's.
     """
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(64))
     for name, df in (("document.md", markdown), ("document.json", blocks), ("quality-report.json", reports), ("manifest.json", manifests)):
-        (
-            df.withColumn("part", F.col("doc_id")).repartition(bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").json(f"{path}/{name}")
-        )
+        target = f"{path}/{name}"
+        lines = df.select(bucket(F.col("doc_id")).alias("part"), F.to_json(F.struct(*df.columns)).alias("value"))
+        if _exists(df.sparkSession, target):
+            lines = lines.unionByName(_others(df, target))
+        lines.hint("rebalance", F.col("part")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").text(target)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path has a partition folder, on any file system that Spark reads."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/part=*")
+    return bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder))
+
+
+def _others(df: DataFrame, target: str) -> DataFrame:
+    """The lines of other documents in the buckets of `df`, kept in the checkpoint folder."""
+    ids = df.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    touched = ids.select(bucket(F.col("doc_id")).alias("part")).distinct()  # BUCKETS rows at most
+    old = df.sparkSession.read.schema("value string, part int").text(target)
+    old = old.join(F.broadcast(touched), "part", "left_semi").withColumn("doc_id", F.get_json_object("value", "$.doc_id").cast("long"))
+    return checkpoint(old.join(ids, "doc_id", "left_anti").select("part", "value"))
 
 
 def archive_problem(asked: DataFrame, jobs: DataFrame, sizes: DataFrame, max_files: int = S.MAX_BATCH_FILES, max_bytes: int = S.MAX_ARCHIVE_BYTES, by: tuple[str, ...] = ()) -> DataFrame:
@@ -67,13 +96,15 @@ def zip_results(spark: SparkSession, path: str, ids: list[int], target: str, max
     """A ZIP file on the driver of the artifacts of a few documents, within the limits of a batch archive."""
     import zipfile
 
+    from . import readers
+
     if len(ids) > max_files or len(set(ids)) < len(ids):
         raise ValueError(f"{len(ids)} ids: at most {max_files}, each once")
     total = 0
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as bundle:
         for n, doc_id in enumerate(ids, start=1):
             for name in ROOT_FILES:
-                rows = spark.read.option("basePath", f"{path}/{name}").json(f"{path}/{name}").where(F.col("part") == doc_id).drop("part")
+                rows = readers.result(spark, path, name, doc_id)
                 size = rows.select(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
                 total += size
                 if total > max_bytes:

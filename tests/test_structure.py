@@ -8,7 +8,7 @@ from quirefold.functions import code, python, tables
 from quirefold.functions import text as fn
 from quirefold.operators import layout, normalize, ocr, render, segment, select
 from quirefold.plans import convert
-from quirefold.sources import engines, inspect, sinks
+from quirefold.sources import engines, inspect, readers, sinks
 
 
 def one(spark, expr, **values):
@@ -226,13 +226,20 @@ def test_files_and_adapter(spark, tmp_path):
     assert (got[1].meta.ordered, got[1].meta.marker, got[1].meta.indent_level, got[2].meta.language) == (True, "2.", 2, "python") and got[5].asset_path is None
 
 
-def test_sinks(spark, tmp_path):
+def test_sinks(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame([(1, "m1"), (2, "m2")], "doc_id long, markdown string")
     for _ in range(2):
         sinks.write(str(tmp_path / "out"), docs, docs, docs, docs)
     sinks.write(str(tmp_path / "out"), docs.where("doc_id = 2").selectExpr("doc_id", "'new' as markdown"), docs, docs, docs)
     got = spark.read.json(str(tmp_path / "out" / "document.md")).select("doc_id", "markdown").collect()
     assert sorted(map(tuple, got)) == [(1, "m1"), (2, "new")]
+    monkeypatch.setattr(sinks, "BUCKETS", 1)  # documents that share a bucket
+    both = str(tmp_path / "shared")
+    sinks.write(both, docs, docs, docs, docs)
+    sinks.write(both, *[docs.where("doc_id = 2").selectExpr("doc_id", "'new' as markdown")] * 4)
+    assert [readers.result(spark, both, "document.md", k).first().markdown for k in (1, 2)] == ["m1", "new"]
+    assert spark.read.json(f"{both}/document.json").count() == 2
+    monkeypatch.undo()
     sinks.zip_results(spark, str(tmp_path / "out"), [2, 1], str(tmp_path / "r.zip"))
     import zipfile
 
