@@ -19,6 +19,21 @@ def test_latest_state_survives_repeats(spark, tmp_path):
     assert sum(seen) == 5
 
 
+def test_deltas_are_folded(spark, tmp_path):
+    log, table = str(tmp_path / "log"), str(tmp_path / "table")
+    rows = [(k % 3, n, f"{k}-{n}") for n in range(2) for k in range(3)] + [(3, 9, "last")]
+    for row in rows:
+        spark.createDataFrame([row], "id long, updated_at long, status string").coalesce(1).write.mode("append").parquet(log)
+    stream = streaming.updates(spark, log, spark.read.parquet(log).schema, 1)
+    streaming.keep_latest(stream, table, str(tmp_path / "ck"), compact=2).awaitTermination()
+    folders = {kind: [v for v, _ in streaming._folders(spark, table, kind)] for kind in ("base", "delta")}
+    assert folders == {"base": [4, 6], "delta": [5, 6]}
+    want = [(0, "0-1"), (1, "1-1"), (2, "2-1"), (3, "last")]
+    assert sorted(map(tuple, streaming.latest_table(spark, table).select("id", "status").collect())) == want
+    (tmp_path / "table" / "delta" / "version=7").mkdir()  # a batch that has not finished
+    assert streaming.latest_table(spark, table).count() == 4
+
+
 def test_uploads(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
