@@ -369,8 +369,7 @@ def evaluate(
         joined = joined.withColumn("present", F.coalesce("has_blocks", F.lit(False)))
     if with_code:
         findings = checkpoint(code_findings(blocks).select("doc_id", "page", "first_block_id", "code", "is_error", "deduction"))
-        per_page = findings.groupBy(*key).agg(F.sum("deduction").alias("code_deduction"), F.bool_or("is_error").alias("code_error"))
-        joined = joined.join(per_page, key, "left").join(collapsed(flags), key, "left")
+        joined = joined.join(code_by_page(findings, *key), key, "left").join(collapsed(flags), key, "left")
     else:
         findings = None
         joined = joined.withColumns({"code_deduction": F.lit(0.0), "code_error": F.lit(False), "n_collapsed": F.lit(0).cast("long")})
@@ -386,18 +385,27 @@ def evaluate(
     else:
         checked = None
         joined = joined.withColumns({"n_missing_asset": F.lit(0).cast("long"), "n_tiny": F.lit(0).cast("long")})
-    # pages without blocks are flat pages of no document, but their document's issue stands on its other pages
-    zeros = ["n_from_image", "n_tail", "n_orphan", "n_empty", "n_mismatch", "n_level_differs", "chars", "n_garbled", "n_control", "n_collapsed", "n_missing_asset", "n_tiny"]
-    filled = joined.na.fill(0, [*zeros, "n_flat"]).na.fill(0.0, ["dup", "code_deduction"]).na.fill(False, ["aligned", "structured", "present", "code_error"])
-    filled = filled.withColumn("flat_page", (F.col("n_flat") > 0) & (F.col("n_level_differs") > 0))
     native = engine == "native"
     # a few numbers a page: written once, so that scores, issues and verdicts do not each read all texts
-    scored = checkpoint(rules(filled, minimum, native))
+    scored = checkpoint(rules(complete(joined), minimum, native))
     page_quality = scored.select("doc_id", "page", "score", F.col("chars").alias("extracted_chars"), "replacement_ratio", "duplicate_ratio", "needs_fallback")
     issues = _issues(scored, findings, checked, native)
     return Report(page_quality, issues, _documents(page_quality, issues, minimum, engine))
 
 
+def complete(joined: DataFrame) -> DataFrame:
+    """Joined facts without gaps, with flat_page: pages without blocks are flat pages of no document, but
+    their document's issue stands on its other pages."""
+    zeros = ["n_from_image", "n_tail", "n_orphan", "n_empty", "n_mismatch", "n_level_differs", "chars", "n_garbled", "n_control", "n_collapsed", "n_missing_asset", "n_tiny"]
+    filled = joined.na.fill(0, [*zeros, "n_flat"]).na.fill(0.0, ["dup", "code_deduction"]).na.fill(False, ["aligned", "structured", "present", "code_error"])
+    return filled.withColumn("flat_page", (F.col("n_flat") > 0) & (F.col("n_level_differs") > 0))
+
+
+def code_by_page(findings: DataFrame, *key: str) -> DataFrame:
+    """(key, code_deduction, code_error)."""
+    return findings.groupBy(*key).agg(F.sum("deduction").alias("code_deduction"), F.bool_or("is_error").alias("code_error"))
+
+
 def _issues(scored: DataFrame, findings: DataFrame | None, assets: DataFrame | None, native: bool) -> DataFrame:
     """(doc_id, ord, page, block_id, code, severity, message); page is null for issues of the document.
 
