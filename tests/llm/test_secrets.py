@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quirefold.llm import secrets
@@ -111,3 +112,38 @@ def test_long_texts_take_linear_time(model):
     assert took[1] < 10 * took[0] + 1
     blob = secrets._spans(["aB3/" * 1_000_000], model)[0]
     assert len(blob) <= 1
+
+
+def test_every_finding_is_learned_from_or_judged(spark, monkeypatch):
+    """More texts and findings than any sample would take: each is an example, on its side of the split."""
+    judged, calibrate = [], secrets.CharCNN.calibrate
+
+    def spied(self, x, y, *rest):
+        calibrate(self, x, y, *rest)
+        judged.append((y > 0).sum())
+
+    monkeypatch.setattr(secrets.CharCNN, "calibrate", spied)
+    rng = random.Random(3)
+    tokens = [secrets.generated(rng, [("hex", 40)]) for _ in range(9000)]
+    docs = spark.createDataFrame([(f"and {t} ends",) for t in tokens], "text string")
+    secrets.train(docs)
+    assert judged[0] >= sum(secrets._aside(t) for t in tokens)
+    made = secrets.examples(secrets.labelled(docs)).where("y").select("x", "aside").collect()
+    codes = {x.tobytes() for x in secrets.encode([("and ", t, " ends") for t in tokens]).astype("uint8")}
+    assert codes == {bytes(r.x) for r in made} and sum(r.aside for r in made) == sum(secrets._aside(t) for t in tokens)
+
+
+def test_counts_of_many_set_aside_examples_give_the_same_threshold(spark, monkeypatch, model):
+    monkeypatch.setattr(secrets, "POINTS", 100)
+    rough = secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text"))
+    cut = lambda m: np.log(m.threshold / (1 - m.threshold)) / m.scale - m.shift / m.scale
+    assert rough.recall >= 0.99 and -2 / secrets.FINE < cut(rough) - cut(model) <= 1e-9
+
+
+def test_parts_are_averaged(spark, monkeypatch):
+    """Examples in several parts, gone through apart, and a table without rows."""
+    monkeypatch.setattr(secrets, "PART", 30_000)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    model = secrets.train(docs)
+    assert model.recall >= 0.99 and model.precision >= 0.95
+    assert secrets.train(docs.limit(0)).recall >= 0.99
