@@ -102,21 +102,28 @@ COMMON_ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos
 _LOOSE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 
 
-def html_visible(c: Column) -> Column:
+#: Spaces of Unicode, without tabs and line ends.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def html_visible(c: Column, blanks: str = WS, common_only: bool = False) -> Column:
     """Visible text of HTML: tags become spaces, blanks squeeze, entities resolve once, ampersand last.
 
-    Texts with other than the common entities are resolved piece by piece, by the names of HTML 5.
+    Texts with other than the common entities are resolved piece by piece, by the names of HTML 5,
+    unless `common_only` leaves the others as they are. `blanks` is the pattern of a blank.
     """
 
     def resolved(t: Column) -> Column:
         common = t
         for name, char in COMMON_ENTITIES:
             common = F.replace(common, F.lit(f"&{name};"), F.lit(char))
+        if common_only:
+            return common
         rare = t.rlike(f"&(?!(?:{'|'.join(n for n, _ in COMMON_ENTITIES)});)[#A-Za-z]")
         pieces = F.regexp_extract_all(t, F.lit(f"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z0-9]+;|&(?:{_LOOSE})|[^&]+|&"), F.lit(0))
         return F.when(rare, F.array_join(F.transform(pieces, _entity), "")).otherwise(common)
 
-    return let(F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), f"{WS}+", " ")), resolved)
+    return let(F.btrim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), f"{blanks}+", " "), F.lit(SPACES)), resolved)
 
 
 def _entity(piece: Column) -> Column:

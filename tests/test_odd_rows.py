@@ -29,3 +29,10 @@ def test_lines_that_begin_with_numbers_of_their_own(spark, tmp_path, name):
         rows.append((doc + 4, "\n".join([own, "a\rb", "c d", "", own])))  # line 0 of seven is
     got, want = both(spark, tmp_path, name, "documents", rows, "doc_id long, text string")
     assert got == want and len(got) > 20
+
+
+def test_visible_text_of_odd_pages(spark, tmp_path):
+    texts = ["<title>a&amp;&amp b</title>", "a &amp", "&amp;lt; &lt &copy; &copy2020", "&eacute; &#233; &#xe9; &nbsp;", " <p>a  b\x0bc\x1cd </p>　", "\t<b>x</b>\r\n", "a<b", "", None, "&apos;&#39;&quot;&middot;"]
+    rows = [(n, t) for n, t in enumerate(texts)]
+    got, want = both(spark, tmp_path, "html_visible_text", "pages", rows, "page_id long, html string")
+    assert got == want and len(got) == len(texts)
